@@ -192,15 +192,16 @@ def _codec(shared, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, decode: bool = False) -> DataFrame:
-    """``id_col``, ``ids`` (binary, little-endian unsigned 32-bit) and, with ``decode``, ``decoded`` (binary).
+def encode(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, decode: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (``id_col`` if none are named), ``ids`` (binary, little-endian unsigned 32-bit) and, with
+    ``decode``, ``decoded`` (binary): what decoding the ids gives.
 
     One narrow pass without a shuffle; each text is encoded whole.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_tables(ranks_path))
-    source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    schema = pa.schema([("key", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.binary())] * decode)
+    shared = docs.sparkSession.sparkContext.broadcast(_tables(ranks_path))
+    kept = docs.select(*(keep or [id_col]))
+    source = docs.select(F.struct(*kept.columns).alias("kept"), F.col(text_col).alias("text"))
+    names = ["kept", "ids", "decoded"][: 2 + decode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
@@ -208,13 +209,13 @@ def encode(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = [codec.encode(t) for t in part.column(1).to_pylist()]
-                cols = [part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())]
+                cols = [part.column(0), pa.array(ids, pa.binary())]
                 if decode:
                     cols.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = source.mapInArrow(run, "key long, ids binary" + ", decoded binary" * decode)
-    return out.withColumnRenamed("key", id_col)
+    out = source.mapInArrow(run, f"kept {kept.schema.simpleString()}, ids binary" + ", decoded binary" * decode)
+    return out.select(*(F.col("kept").getField(c).alias(c) for c in kept.columns), *names[1:])
 
 
 def n_tokens(ids: str | Column = "ids") -> Column:
