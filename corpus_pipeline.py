@@ -19,13 +19,13 @@ META = ["lang", "source"]
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", META, "quality")
-    return quality.score(docs, model, "text", META, docs.columns).where(F.col("quality_score") >= quality.KEEP).select(*docs.columns)
+    return quality.accepted(docs, model, "text", META)
 
 
 def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents that it rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
-    return toxicity.score(docs, model, "text", docs.columns).where(F.col("toxic_probability") < toxicity.REJECT).select(*docs.columns)
+    return toxicity.accepted(docs, model, "text")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: the ids of every text, and whether decoding gave the text back."""
-    coded = bpe.encode(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True, keep=docs.columns)
+    coded = bpe.encode(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True, keep=["doc_id", "lang", "source", "text"])
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", whole.alias("round_trip"))
 

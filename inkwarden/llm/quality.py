@@ -19,7 +19,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
@@ -157,12 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_col
     return CoTrained([_views(r.text, r.meta) for r in learn], y, [_views(r.text, r.meta) for r in pool])
 
 
-def score(docs: DataFrame, model: CoTrained | None, text_col: str, meta_cols: list[str], keep: list[Column | str]) -> DataFrame:
-    """Columns ``keep`` and ``quality_score``, ``text_score``, ``metadata_score`` of every row, in one pass."""
+def _scored(docs: DataFrame, model: CoTrained | None, text_col: str, meta_cols: list[str], kept: DataFrame) -> DataFrame:
+    """``kept`` (struct of columns) and the three scores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep)
     meta = F.array(*(F.col(c).cast("string") for c in meta_cols))
-    rows = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("text"), meta.alias("meta"))
+    rows = docs.select(F.struct(*kept.columns).alias("kept"), F.col(text_col).alias("text"), meta.alias("meta"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,6 +173,17 @@ def score(docs: DataFrame, model: CoTrained | None, text_col: str, meta_cols: li
                     scores = shared.value.score([_views(t, m) for t, m in zip(part.column(1).to_pylist(), part.column(2).to_pylist())])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s, pa.float64()) for s in scores)], names=["kept", "quality_score", "text_score", "metadata_score"])
 
-    schema = f"kept {kept.schema.simpleString()}, quality_score double, text_score double, metadata_score double"
-    out = rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"kept {kept.schema.simpleString()}, quality_score double, text_score double, metadata_score double")
+
+
+def score(docs: DataFrame, model: CoTrained | None, text_col: str, meta_cols: list[str], keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and ``quality_score``, ``text_score``, ``metadata_score`` of every row, in one pass."""
+    kept = docs.select(*keep)
+    out = _scored(docs, model, text_col, meta_cols, kept)
     return out.select(*(F.col("kept").getField(c).alias(c) for c in kept.columns), "quality_score", "text_score", "metadata_score")
+
+
+def accepted(docs: DataFrame, model: CoTrained | None, text_col: str, meta_cols: list[str], threshold: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with their columns, whatever their names."""
+    out = _scored(docs, model, text_col, meta_cols, docs).where(F.col("quality_score") >= threshold)
+    return out.select(*(F.col("kept").getField(c).alias(c) for c in docs.columns))

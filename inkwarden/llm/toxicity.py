@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
@@ -121,11 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return Ordinal([r.text for r in rows], y)
 
 
-def score(docs: DataFrame, model: Ordinal | None, text_col: str, keep: list[Column | str]) -> DataFrame:
-    """Columns ``keep``, ``severity`` (expected grade) and ``toxic_probability`` of every row, in one pass."""
+def _scored(docs: DataFrame, model: Ordinal | None, text_col: str, kept: DataFrame) -> DataFrame:
+    """``kept`` (struct of columns), ``severity`` and ``toxic_probability``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep)
-    rows = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*kept.columns).alias("kept"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -136,5 +135,17 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str, keep: list[Colu
                 p = model.at_least([reader.counts(t) for t in part.column(1).to_pylist()]) if model is not None else np.zeros((part.num_rows, 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.sum(axis=1), pa.float64()), pa.array(p[:, 0], pa.float64())], names=["kept", "severity", "toxic_probability"])
 
-    out = rows.mapInArrow(run, f"kept {kept.schema.simpleString()}, severity double, toxic_probability double")
+    return rows.mapInArrow(run, f"kept {kept.schema.simpleString()}, severity double, toxic_probability double")
+
+
+def score(docs: DataFrame, model: Ordinal | None, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, ``severity`` (expected grade) and ``toxic_probability`` of every row, in one pass."""
+    kept = docs.select(*keep)
+    out = _scored(docs, model, text_col, kept)
     return out.select(*(F.col("kept").getField(c).alias(c) for c in kept.columns), "severity", "toxic_probability")
+
+
+def accepted(docs: DataFrame, model: Ordinal | None, text_col: str, threshold: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` below the threshold, with their columns, whatever their names."""
+    out = _scored(docs, model, text_col, docs).where(F.col("toxic_probability") < threshold)
+    return out.select(*(F.col("kept").getField(c).alias(c) for c in docs.columns))
