@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,10 +14,17 @@ SEARCHED, SNIFFED = 4096, 256
 
 
 def read_files(spark: SparkSession, folder: str, extension: str = "pdf") -> DataFrame:
-    """``path``, ``length``, ``content`` of files with an extension, whatever its case; each path once."""
+    """``path``, ``length``, ``content`` of files with an extension, whatever its case; each path once.
+
+    Spark's reader leaves out empty files; their paths come from its file index.
+    """
     letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{letters}").load(folder)
-    return first_of_each(files, ["path"], ["modificationTime"]).select("path", "length", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{letters}").load(folder)
+    full = first_of_each(found, ["path"], ["modificationTime"]).select("path", "length", "content")
+    listed = spark.createDataFrame([(unquote(p),) for p in found.inputFiles()], "path string")
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    empty = listed.join(found.select(F.col("path").alias("read")), bare(F.col("path")) == bare(F.col("read")), "left_anti")
+    return full.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
 def queued(files: DataFrame, name: str, order: str, extension: str = "pdf") -> DataFrame:
