@@ -17,10 +17,11 @@ _MARK = "\u0001"
 
 def java(pattern: str, ignore_case: bool = False) -> str:
     """A pattern written with ``\\b``, ``\\s`` and ``\\S`` for Spark: ASCII boundaries, full white space."""
+    flag = "(?i)" if pattern.isascii() else "(?iu)"
     out = pattern.replace(r"\b", B)
     out = re.sub(r"\[((?:[^\]\\]|\\.)*)\\s((?:[^\]\\]|\\.)*)\]", lambda m: f"[{m[1]}{SPACE[1:-1]}{m[2]}]", out)
     out = out.replace(r"\s", SPACE).replace(r"\S", NOT_SPACE)
-    return ("(?iu)" if ignore_case else "") + out
+    return (flag if ignore_case else "") + out
 
 
 def any_of(words: list[str]) -> str:

@@ -67,11 +67,15 @@ def dates(text: Column, max_year: int, faithful: bool = False) -> Column:
 
 
 def nationalities(text: Column) -> Column:
-    """array<struct<value, country>> in dictionary order, whatever the case in the text."""
-    hit = lambda w: text.rlike(rx.java(rf"\b{rx.any_of([w])}\b", True))
-    some = text.rlike(rx.java(rf"\b(?:{rx.any_of(list(values.EXTRACT_DEMONYMS))})\b", True))
-    each = F.array(*(F.when(hit(w), F.struct(F.lit(w).alias("value"), F.lit(c).alias("country"))) for w, c in values.EXTRACT_DEMONYMS.items()))
-    return F.when(some, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<value:string,country:string>>"))
+    """array<struct<value, country>> in dictionary order, whatever the case in the text.
+
+    One scan finds all words (none lies within another); each distinct one is looked up and sorted by its place.
+    """
+    pattern = rx.java(rf"\b(?:{rx.any_of(list(values.EXTRACT_DEMONYMS))})\b", True)
+    known = F.create_map(*(x for i, (w, c) in enumerate(values.EXTRACT_DEMONYMS.items()) for x in (F.lit(w.lower()), F.struct(F.lit(i).alias("ord"), F.lit(w).alias("value"), F.lit(c).alias("country")))))
+    found = F.array_distinct(F.transform(rx.matches(text, pattern), lambda w: F.lower(w)))
+    listed = F.array_sort(F.transform(found, lambda w: F.element_at(known, w)))
+    return F.transform(listed, lambda x: F.struct(x["value"].alias("value"), x["country"].alias("country")))
 
 
 def mrz_lines(text: Column) -> Column:
