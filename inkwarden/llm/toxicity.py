@@ -13,7 +13,6 @@ any others; with no labels of both kinds the severity is 0 (nothing is rejected)
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import linear
 from .memo import Memo
 
 LABELLED, GRADES, TERMS, EVIDENCE = 6000, 3, 800, 30.0
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Share of toxic documents that the fit assumes; a text without any term then stays below the limit.
+PRIOR = 0.12
 #: A document is rejected from this probability of any toxicity on.
 REJECT = 0.5
 _EDGES = "".join(chr(i) for i in range(0x21, 0x7F) if not chr(i).isalnum()) + "«»„“”‚‘’…–—¿¡"
@@ -41,32 +43,17 @@ def terms(word: str) -> list[str]:
 class Ordinal:
     """Cumulative-link model over counts of selected terms."""
 
-    def __init__(self, texts: list[str | None], toxic: np.ndarray):
-        words = [(x or "").split() for x in texts]
-        found = [Counter(t for w in ws for t in set(terms(w))) for ws in words]
-        df: dict[str, list[int]] = {}
-        for c, y in zip(found, toxic):
-            for t in c:
-                df.setdefault(t, [0, 0])[int(y)] += 1
-        n, bad = len(toxic), toxic.sum()
+    def __init__(self, terms_by_strength: list[str]):
+        self.at = {t: i for i, t in enumerate(terms_by_strength)}
 
-        def evidence(t: str) -> float:
-            """Likelihood ratio of the term's documents being toxic more often than others; 0 if they aren't."""
-            (b, a), base = df[t], bad / n
-            share = a / (a + b)
-            return 2 * (a * np.log(share / base) + (b * np.log((1 - share) / (1 - base)) if b else 0)) if share > base else 0.0
-
-        strength = {t: e for t, c in df.items() if sum(c) >= 4 and (e := evidence(t)) >= EVIDENCE}
-        best = sorted(strength, key=lambda t: (-strength[t], t))[:TERMS]
-        self.at = {t: i for i, t in enumerate(best)}
-        reader = Reader(self)
-        counts = [reader.counts(x) for x in texts]
+    def fit(self, counts: list[dict[int, int]], toxic: np.ndarray) -> Ordinal:
+        n, bad = len(toxic), toxic.sum()
         density = np.array([c.get(-1, 0) / max(c[-2], 1) for c in counts])
         cuts = np.quantile(density[toxic > 0], [i / GRADES for i in range(1, GRADES)])
         grade = np.where(toxic > 0, 1 + np.searchsorted(cuts, density, side="right"), 0)
-        x = self.matrix(counts)
+        x = self.matrix(counts).astype(float)
         above = grade[:, None] >= np.arange(1, GRADES + 1)[None, :]
-        weight = np.where(toxic > 0, 0.5 / bad, 0.5 / (n - bad))[:, None]
+        weight = np.where(toxic > 0, PRIOR / bad, (1 - PRIOR) / (n - bad))[:, None]
         m = x.shape[1]
 
         def gradient(p: np.ndarray) -> np.ndarray:
@@ -78,6 +65,7 @@ class Ordinal:
 
         p = linear.adam(gradient, np.concatenate([np.zeros(m), [1.0], np.zeros(GRADES - 1)]))
         self.w, self.thresholds = p[:m], np.append(p[m], p[m] + np.cumsum(np.exp(p[m + 1 :])))
+        return self
 
     def matrix(self, counts: list[dict[int, int]]) -> np.ndarray:
         out = np.zeros((len(counts), len(self.at) + 2), np.float32)
@@ -111,14 +99,42 @@ class Reader:
         return out
 
 
+def strongest_terms(rows: DataFrame, n: int, bad: int) -> list[str]:
+    """Terms (``TERMS`` at most) of rows (``text``, ``y``) whose documents are toxic clearly more often than all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list({t for w in set((text or "").split()) for t in terms(w)})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
+
+    df = rows.select("text", "y").mapInArrow(run, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    base, share = bad / n, F.col("a") / (F.col("a") + F.col("b"))
+    ratio = 2 * (F.col("a") * F.log(share / base) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    strong = df.where((F.col("a") + F.col("b") >= 4) & (share > base)).withColumn("e", F.round(ratio, 6)).where(F.col("e") >= EVIDENCE)
+    return [r.term for r in strong.orderBy(F.desc("e"), "term").limit(TERMS).select("term").collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Ordinal | None:
+    """Fits on a bounded sample; None without labels of both kinds. Terms and counts are found on the executors."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     chosen = linear.sample(known.groupBy("id").agg(F.max("y").alias("y")), "id", LABELLED)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id").collect()
-    y = np.array([r.y for r in rows], float)
-    if len(rows) < 8 or y.min() == y.max():
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
+    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if n < 8 or bad in (0, n):
         return None
-    return Ordinal([r.text for r in rows], y)
+    model = Ordinal(strongest_terms(rows, n, bad))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
+        for batch in batches:
+            counts = [reader.counts(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["y", "keys", "n"]
+            )
+
+    found = rows.orderBy("id").select("y", "text").mapInArrow(run, "y int, keys array<int>, n array<int>").collect()
+    return model.fit([dict(zip(r[1], r[2])) for r in found], np.array([r[0] for r in found], float))
 
 
 def _scored(docs: DataFrame, model: Ordinal | None, text_col: str, kept: DataFrame) -> DataFrame:
