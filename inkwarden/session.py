@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,22 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers unless their path has it (``PYTHONPATH`` or the working folder)."""
+    root, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
+    known = {os.path.realpath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    if str(root) in known or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='inkwarden-')}/inkwarden", "zip", root, "inkwarden"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
