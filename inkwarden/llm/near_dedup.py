@@ -7,7 +7,8 @@ is ``likeness`` or more. Members of a band are compared with its smallest and la
 all. Of each component the text with the smallest document id stays.
 
 Results: null and blank texts are one group; exact copies are one group; of repeated rows one stays; a
-document without an id stays only where its group has none with one. Columns are those of the input.
+document without an id stays only where its group has none with one. Columns are those of the input. Texts are
+named by a 64-bit hash; two different texts that share one would count as equal.
 """
 
 from __future__ import annotations
@@ -100,8 +101,9 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = L
     pairs = _ends(banded, ["band", "key"]).unionByName(_ends(same, ["fp"])).unionByName(near)
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = cut(pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).distinct())
-    texts = docs.select(text_key.alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(asked, "tk", "left_semi")
-    texts = cut(texts.groupBy("tk").agg(F.first("text").alias("text")))
+    # copies are combined by each task before the shuffle, so that a much copied text stays small there
+    texts = docs.select(text_key.alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("tk").agg(F.first("text").alias("text"))
+    texts = cut(texts.join(asked, "tk", "left_semi"))
     side = lambda c: texts.select(F.col("tk").alias(c), F.col("text").alias(f"text_{c}"))
     edges = _alike(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b"), likeness)
     tree = simhash.components(edges)
