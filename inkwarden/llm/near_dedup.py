@@ -1,10 +1,13 @@
 """Near-duplicate removal: one document of each group of similar texts stays.
 
-Candidates come from covering SimHash (``simhash.links``) and, because texts with a shingle likeness of 0.8
-often differ in more bits than any covering radius can afford, from bands of minimum hashes. Every
-candidate is decided exactly: two texts are linked when the Jaccard likeness of their sets of word shingles
-is ``likeness`` or more. Members of a band are compared with its smallest and largest member, never all with
-all. Of each component the text with the smallest document id stays.
+Two texts are linked when the Jaccard likeness of their sets of word shingles is ``likeness`` or more; every
+candidate is decided exactly. Most links are found cheaply: by covering SimHash (``simhash.links``) and by bands
+of minimum hashes, each member against its band's smallest and largest. Then an exact join proposes every pair
+that these have not put into one component yet: a text of n shingles posts its n - ceil(likeness n) + 1 smallest
+shingle hashes, of which two linked texts share one. A pair under a hash is left out only where sizes, places in
+both posts, or signatures (each shingle flips one bit, so differing bits are differing shingles) prove it below
+``likeness``. A hash that many texts post is compared block by block. Of each component the text with the
+smallest document id stays.
 
 Results: null and blank texts are one group; exact copies are one group; of repeated rows one stays; a
 document without an id stays only where its group has none with one. Columns are those of the input. Texts are
@@ -13,6 +16,7 @@ named by a 64-bit hash; two different texts that share one would count as equal.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ from ..session import cut, partitions
 from . import simhash
 
 SHINGLE, LIKENESS, BANDS, ROWS = 5, 0.8, 20, 5
+#: Texts of a block; those that post one hash are compared by pairs of blocks.
+BLOCK = 1024
 _RNG = np.random.default_rng(2024)
 _FACTOR = _RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
@@ -86,6 +92,94 @@ def _alike(pairs: DataFrame, likeness: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def posts(text: str | None, likeness: float = LIKENESS) -> tuple[int, bytes, list[int]]:
+    """Number of shingles, signature and posted hashes (smallest first) of one text; texts without words post 0."""
+    h = np.unique(np.array([xxhash.xxh64_intdigest(p) for p in set(shingles(text))], np.uint64))
+    n = len(h)
+    width = 64 << max(0, n.bit_length() - 7)  # bits: the power of two up to n, 64 at least
+    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) % 2
+    posted = h[: n - math.ceil(likeness * n - 1e-9) + 1].view(np.int64).tolist()
+    return n, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), posted or [0]
+
+
+def _posts(docs: DataFrame, text_col: str, likeness: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sig, posted = zip(*(posts(t, likeness) for t in batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(posted, pa.list_(pa.int64()))], names=["tk", "n", "sig", "posted"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(run, "tk long, n int, sig binary, posted array<long>")
+
+
+def _folded(sigs: list[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of 64-bit words, each folded to ``width`` bytes."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, "<u8").reshape(-1, width // 8), axis=0) for s in sigs])
+
+
+def _possible(members: list[dict], cross: bool, likeness: float) -> list[tuple[int, int]]:
+    """Pairs of texts under one hash that are in two components and not proven below ``likeness``.
+
+    With ``cross`` only pairs of two blocks. The hash can be the first one that a linked pair shares only where
+    enough of both texts is left behind it; a pair fails here but not under its first shared hash.
+    """
+    members = sorted(members, key=lambda r: r["n"])
+    tk, n, pos, comp, own = (np.array([r[c] for r in members], np.int64) for c in ("tk", "n", "pos", "comp", "own"))
+    widths = np.array([len(r["sig"]) for r in members])
+    folded = {int(w): _folded([r["sig"] for r in members[int(np.argmax(widths >= w)) :]], int(w)) for w in np.unique(widths)}
+    end = np.searchsorted(n, np.floor(n / likeness + 1e-9), side="right")  # n is in order, and so are widths
+    share, out = likeness / (1 + likeness), []
+    for i in range(len(members) - 1):
+        j = np.arange(i + 1, end[i])
+        both = n[i] + n[j]
+        fit = (comp[j] != comp[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= share * both - 1e-9)
+        if cross:
+            fit &= own[j] != own[i]
+        j = j[fit]
+        if len(j):
+            w = int(widths[i])
+            at, sigs = int(np.argmax(widths >= w)), folded[w]
+            apart = np.bitwise_count(sigs[j - at] ^ sigs[i - at]).sum(axis=1, dtype=np.int64)
+            j = j[apart <= (1 - 2 * share) * (n[i] + n[j]) + 1e-9]
+            out += [(int(min(tk[i], x)), int(max(tk[i], x))) for x in tk[j]]
+    return out
+
+
+def _rest(docs: DataFrame, tree: DataFrame, text_col: str, likeness: float) -> DataFrame:
+    """Candidates ``a`` < ``b``: all pairs of texts that can be linked but are in two components of ``tree``."""
+    known = tree.select(F.col("node").alias("tk"), "root")
+    sets = _posts(docs, text_col, likeness).groupBy("tk").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("posted").alias("posted"))
+    sets = cut(sets.join(known, "tk", "left").withColumn("comp", F.coalesce("root", "tk")).drop("root"))
+    several = sets.select("comp", F.explode("posted").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    several = cut(several.where("lo <> hi").select("key", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks")))
+    places = sets.select("tk", F.posexplode("posted").alias("pos", "key")).join(several, "key")
+    placed = places.join(sets.select("tk", "n", "comp", "sig"), "tk").withColumn("own", F.pmod(F.xxhash64("tk", F.lit(7)), "blocks").cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")).agg(F.collect_list(F.struct("tk", "n", "pos", "comp", "own", "sig")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                cross, members = part.column(0).to_pylist(), part.column(1).to_pylist()
+                found = {p for c, m in zip(cross, members) for p in _possible(m, c, likeness)}
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return groups.where(F.size("members") > 1).select((F.col("one") != F.col("two")).alias("cross"), "members").mapInArrow(run, "a long, b long")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, text_col: str, likeness: float) -> DataFrame:
+    """The candidates whose whole texts are alike."""
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    pairs = cut(pairs.distinct())
+    asked = cut(pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).distinct())
+    # copies are combined by each task before the shuffle, so that a much copied text stays small there
+    texts = docs.select(text_key.alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("tk").agg(F.first("text").alias("text"))
+    texts = cut(texts.join(asked, "tk", "left_semi"))
+    side = lambda c: texts.select(F.col("tk").alias(c), F.col("text").alias(f"text_{c}"))
+    return cut(_alike(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b"), likeness))
+
+
 def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = LIKENESS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates."""
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -99,14 +193,9 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = L
     said = lambda c: speaker.select(F.col("fp").alias(f"fp_{c}"), F.col("tk").alias(c))
     near = fp_links.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(said("a"), "fp_a").join(said("b"), "fp_b").select("a", "b")
     pairs = _ends(banded, ["band", "key"]).unionByName(_ends(same, ["fp"])).unionByName(near)
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = cut(pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).distinct())
-    # copies are combined by each task before the shuffle, so that a much copied text stays small there
-    texts = docs.select(text_key.alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("tk").agg(F.first("text").alias("text"))
-    texts = cut(texts.join(asked, "tk", "left_semi"))
-    side = lambda c: texts.select(F.col("tk").alias(c), F.col("text").alias(f"text_{c}"))
-    edges = _alike(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b"), likeness)
-    tree = simhash.components(edges)
+    edges = _linked(docs, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), text_col, likeness)
+    rest = _linked(docs, _rest(docs, simhash.components(edges), text_col, likeness), text_col, likeness)
+    tree = simhash.components(edges.unionByName(rest))
     rooted = nodes.select("tk", "top").join(tree.select(F.col("node").alias("tk"), "root"), "tk", "left").select("tk", "top", F.coalesce("root", "tk").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min(F.struct("top", "tk")).alias("best")).select(F.col("best.tk").alias("__tk"), F.col("best.top.id").alias("__id"), (F.col("best.top.n") > 1).alias("__again")))
     keyed = docs.withColumn("__key", text_key)

@@ -264,6 +264,42 @@ def test_near_dedup(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 6, 7]
 
 
+def test_near_dedup_finds_every_pair(spark, monkeypatch):
+    """A star of 1,000 near copies, like their original and not like each other, and many odd sizes."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(words, places):
+        return [f"e{rng.integers(1 << 40)}" if i in places else w for i, w in enumerate(words)]
+
+    texts = {500: base} | {1000 + k: edited(base, set(rng.choice(300, 6, replace=False).tolist())) for k in range(1000)}
+    for k in range(150):
+        own = [f"x{k} {j}" for j in range(int(rng.integers(1, 90)))]
+        texts |= {3000 + k: base[:40] + own, 4000 + k: base[:40] + own + [f"y{k} {j}" for j in range(int(rng.integers(0, 25)))]}
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    sets = {i: frozenset(near_dedup.shingles(t)) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    star, alike = [i for i in texts if 1000 <= i < 2000], 0
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                alike += i in star and j in star
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    assert sum(find(i) == 500 for i in star) > 900 and alike < 5000
+    want = sorted({find(i) for i in texts})
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    for block in (near_dedup.BLOCK, 100):  # 100: pairs of blocks
+        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+        assert sorted(r.doc_id for r in near_dedup.deduplicate(df, "doc_id", "text").collect()) == want
+
+
 def test_pipeline(spark, small, empty, sf, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "mixing", "encoding"]
     for folder in (small, empty):
