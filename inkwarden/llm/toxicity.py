@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Severity has the grades 0 (not toxic) to ``GRADES``: labelled toxic documents are graded by how densely
-they hold marker terms (words and word beginnings that the labels tie to toxicity beyond ``EVIDENCE``), in
-equal parts. One
+they hold marker terms (the ``TERMS`` words and word beginnings that the labels tie most to toxicity, however
+many labels there are), in equal parts. One
 weight vector serves all thresholds, which are ordered by construction:
 P(grade >= k) = sigmoid(w x - threshold_k). The result is the expected grade. The model is fitted on a
 bounded sample of labelled documents (``LABELLED``), every whole text is scored in one pass.
@@ -24,7 +24,7 @@ from ..session import cut
 from . import linear
 from .memo import Memo
 
-LABELLED, GRADES, TERMS, EVIDENCE = 6000, 3, 800, 30.0
+LABELLED, GRADES, TERMS = 6000, 3, 800
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Share of toxic documents that the fit assumes; a text without any term then stays below the limit.
@@ -100,7 +100,11 @@ class Reader:
 
 
 def strongest_terms(rows: DataFrame, n: int, bad: int) -> list[str]:
-    """Terms (``TERMS`` at most) of rows (``text``, ``y``) whose documents are toxic clearly more often than all."""
+    """Terms (``TERMS`` at most) of rows (``text``, ``y``) whose documents are toxic more often than all, by evidence.
+
+    Only the order counts, so a small table has terms, too; the fit weighs weak ones. A term of a single document
+    says nothing of others and is left out, unless there is just one toxic document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +115,7 @@ def strongest_terms(rows: DataFrame, n: int, bad: int) -> list[str]:
     df = rows.select("text", "y").mapInArrow(run, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     base, share = bad / n, F.col("a") / (F.col("a") + F.col("b"))
     ratio = 2 * (F.col("a") * F.log(share / base) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - base))).otherwise(0.0))
-    strong = df.where((F.col("a") + F.col("b") >= 4) & (share > base)).withColumn("e", F.round(ratio, 6)).where(F.col("e") >= EVIDENCE)
+    strong = df.where((F.col("a") + F.col("b") >= min(2, bad)) & (share > base)).withColumn("e", F.round(ratio, 6))
     return [r.term for r in strong.orderBy(F.desc("e"), "term").limit(TERMS).select("term").collect()]
 
 
@@ -121,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = linear.sample(known.groupBy("id").agg(F.max("y").alias("y")), "id", LABELLED)
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if n < 8 or bad in (0, n):
+    if bad in (0, n):
         return None
     model = Ordinal(strongest_terms(rows, n, bad))
 

@@ -252,6 +252,19 @@ def test_op3_and_op6_held_out(spark):
     assert hit[t.toxic == 0].mean() < 0.03 and t[t.toxic == 1].severity.mean() > t[t.toxic == 0].severity.mean()
 
 
+@pytest.mark.parametrize("size, own, others", [("sf0.001", 0.9, 0.35), ("sf0.01", 0.9, 0.65)])
+def test_op6_learns_from_few_labels(spark, size, own, others):
+    """Toxic documents are found among those that taught, and among those of a larger table."""
+    read = lambda s, t: spark.read.parquet(f"/root/testdata/{s}/{t}.parquet")
+    docs = read(size, "documents")
+    model = toxicity.fit(docs, read(size, "labels"), "doc_id", "text", "toxic")
+    new = read("sf0.1", "documents").join(docs.select("text"), "text", "left_anti")
+    for rows, labels, least in ((docs, read(size, "labels"), own), (new, read("sf0.1", "labels"), others)):
+        t = toxicity.score(rows, model, "text", ["doc_id"]).join(labels, "doc_id").toPandas()
+        hit = t.toxic_probability >= toxicity.REJECT
+        assert hit[t.toxic == 1].mean() >= least and hit[t.toxic == 0].mean() < 0.03
+
+
 def test_near_dedup(spark):
     base = [f"w{i}" for i in range(120)]
     other = [f"v{i}" for i in range(120)]
