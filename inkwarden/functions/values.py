@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .name_table import FAMILIES
+
 # The rules give right results only with exactly these lists, in this order.
 COUNTRIES = """Afghanistan, Albania, Algeria, Armenia, Azerbaijan, Bangladesh, Belarus, Belgium, Bosnia, Bulgaria, Cameroon,
 Chad, Colombia, Croatia, Cyprus, DRC, Egypt, Eritrea, Ethiopia, France, Gambia, Georgia, Germany, Ghana, Greece, Guinea,
@@ -92,29 +94,8 @@ def mapped(text: str) -> dict[str, str]:
 DETECT_DEMONYMS = mapped(DEMONYMS)
 EXTRACT_DEMONYMS = {k: v for k, v in DETECT_DEMONYMS.items() if k not in ("Belgian", "Sierra Leonean")} | mapped(MORE_DEMONYMS)
 
-#: Transliteration families known without a table of one's own; ``names.read_table`` reads larger ones.
-NAME_FAMILIES = {
-    "Mohamed": "mohamed mohammed muhammad mohammad muhamed mohamad muhammed",
-    "Ahmed": "ahmed ahmad ahmet achmed",
-    "Fatima": "fatima fatimah fatma fatime fadma",
-    "Fatoumata": "fatoumata fatoumatta fatumata",
-    "Yusuf": "yusuf yousef youssef yousuf yusef jusuf",
-    "Ibrahim": "ibrahim ebrahim ibrahima ibraheem",
-    "Hassan": "hassan hasan al-hassan elhassan",
-    "Hussein": "hussein husain hussain husein hossein",
-    "Omar": "omar umar omer",
-    "Ali": "ali aly",
-    "Abdullah": "abdullah abdallah abdulla abdellah",
-    "Khadija": "khadija khadijah khadeeja kadija hadija",
-    "Aisha": "aisha ayesha aicha aïcha aysha",
-    "Oleksandr": "oleksandr olexandr aleksandr alexandr",
-    "Olena": "olena elena yelena",
-    "Tesfay": "tesfay tesfai tesfaye",
-    "Berhane": "berhane birhane berhan",
-    "Warsame": "warsame warsama warsameh",
-    "Kovalenko": "kovalenko kovalenco",
-    "Mariam": "mariam maryam miriam meryem mariama",
-}
+#: Transliteration families known without a table of one's own; ``names.read_table`` reads others.
+NAME_FAMILIES = dict(line.split(": ") for line in FAMILIES.splitlines())
 
 
 def name_rows(families: dict[str, str] | None = None) -> list[tuple[str, str, int, int]]:

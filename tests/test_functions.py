@@ -79,6 +79,16 @@ def test_canonical_names(spark):
     assert got == {"Fatima": ("Fatema", "direct"), "NADIA": ("Nadiia", "direct"), "Nadya": ("Nadiia", "fuzzy")}
 
 
+def test_default_names_are_the_whole_table(spark):
+    rows = values.name_rows()
+    assert len({e for *_, e, _ in rows}) <= len(values.NAME_FAMILIES) == 195 and len(rows) == len({v for v, *_ in rows}) == 1051
+    known = {v: c for v, c, *_ in rows}
+    assert [known[v] for v in ("mohamed", "hussein", "fatima", "fatimah", "nadia", "tanya")] == ["Muhammad", "Hassan", "Fatema", "Fatema", "Nadiia", "Tania"]
+    words = spark.createDataFrame([(w,) for w in ("Khaled", "ZAINAB", "Yusra", "Mustafaah", "Qqqq")], "w string")
+    got = {r.word: (r.canonical, r.method) for r in names.canonical_names(words, "w", names.variants(spark)).collect()}
+    assert got == {"Khaled": ("Khalid", "direct"), "ZAINAB": (known["zainab"], "direct"), "Yusra": (known["yusra"], "direct"), "Mustafaah": ("Mustafa", "fuzzy")}
+
+
 @pytest.mark.parametrize(("text", "kind", "confidence"), [("hello", "PASSPORT", 0), ("passport", "PASSPORT", 65), ("passport " + "A" * 30, "PASSPORT", 95), ("", "UNKNOWN", 0), (None, "UNKNOWN", 0), ("Tribunal ruling", "COURT_DECISION", 80)])
 def test_document_types(spark, text, kind, confidence):
     k = one(spark, documents.classify, text)
