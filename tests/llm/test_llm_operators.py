@@ -237,6 +237,38 @@ def test_op10_against_all_pairs(spark, small):
     assert index.search(np.array([[2, -1]]), np.array([9]), np.array([0, 1, 2]), 2)[1].tolist() == [1, 0]
 
 
+@pytest.mark.parametrize("spread", [5, 60, 4000])
+def test_op10_stops_on_proof(spread):
+    """Ties, zeros, clusters and repeated rows: the best of all pairs, with fewer postings than pairs have components."""
+    rng = np.random.default_rng(spread)
+    centres = rng.integers(-8 * spread, 8 * spread, (40, 24))
+    values = np.vstack([centres[rng.integers(0, 40, 900)] + rng.integers(-spread, spread, (900, 24)), np.zeros((30, 24), int), np.repeat(centres[:1], 60, axis=0)])
+    ids = rng.permutation(len(values)).astype(np.int64)
+    asks = rng.choice(len(values), 150, replace=False)
+    index = topk.ImpactIndex(values)
+    assert all(abs(a[3]) >= abs(b[3]) for a, b in zip(index.segments, index.segments[1:]))  # falling impact
+    q, r, score = index.search(values[asks], ids[asks], ids, 5)
+    full = values[asks] @ values.T
+    for j, x in enumerate(asks):
+        want = sorted((-int(s), int(i)) for s, i in zip(full[j], ids) if i != ids[x])[:5]
+        assert [(-s, int(ids[i])) for i, s, own in zip(r, score, q) if own == j] == want
+    assert index.touched + index.rescored * 24 < full.size * 24 and index.rescored < full.size / 4
+
+
+def test_op10_large_components(spark):
+    """Sums beyond 64 bits are exact, or an error where they are a result."""
+    big = 2.0**40
+    rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [-big, 3.0]), (3, [0.0, 2.0]), (4, [0.5, 7.0]), (50, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df.where("vec_id <> 1"), "vec_id", "embedding", F.col("vec_id") == 50, k=3).collect()}
+    assert got == {(50, 1): (4, 7 * 65536), (50, 2): (2, 3 * 65536), (50, 3): (3, 2 * 65536)}
+    a, b = int(256 * big), 256
+    index = topk.ImpactIndex(np.array([[a, b], [-a, 3 * b], [a - 1, 0]], object))
+    assert index.search(np.array([[a, 1]], object), np.array([9]), np.array([0, 1, 2]), 2)[2] == [a * a + b, a * (a - 1)]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.top_k(df, "vec_id", "embedding", F.col("vec_id") == 0, k=1).collect()
+
+
 def test_op3_and_op6_held_out(spark):
     """Half of the labels teach, the other half judge."""
     sf = "/root/testdata/sf0.01"
