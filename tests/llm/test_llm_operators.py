@@ -205,6 +205,90 @@ def test_op7_texts():
     assert html_text.main_text("<div>" * 3000 + "deep text") == "deep text"
 
 
+P7 = "<p>Sentence one, with commas, and some more words that go on for a while, as prose does.</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><p data-x='don't'>kept, text</p></article>", "kept, text"),
+        ('<article><p title="a > b">x &lt; y</p></article>', "x < y"),
+        ("<article><p title=\"never closed>x</p><p>y</p></article>", "x\n\ny"),
+        (f"<article>{P7}<div class='related-work'><p>Earlier work, too.</p></div><section id='comments-on-theory'><p>On theory.</p></section></article>", "S\n\nEarlier work, too.\n\nOn theory."),
+        (f"<article>{P7}<figure><img><figcaption>A picture.</figcaption></figure><fieldset><p>In a set.</p></fieldset><p>So <math><mi>a</mi>=<mn>1</mn></math> holds.</p></article>", "S\n\nA picture.\n\nIn a set.\n\nSo a=1 holds."),
+        (f"<div id=content><div class=col1>{P7 * 5}</div><div class=col2><p>Short, too.</p></div></div>", "\n\n".join(["S"] * 5) + "\n\nShort, too."),
+        (f"<article><section>{P7 * 10}</section><section><h3>Sub</h3><p>B.</p><ul><li>c</ul><table><tr><td>d</table></section></article>", "\n\n".join(["S"] * 10) + "\n\nSub\n\nB.\n\nc\n\nd"),
+        (f"<article>{P7}<div class=comments><p>Nice, one, two, three.</p></div><div class='comment-list'><p>Me, too.</p></div><div class='ad-box'>Buy.</div><div class='share-buttons'><a>x</a></div><div class='entry-header'><h2>Head</h2></div></article>", "S\n\nHead"),
+        (f"<article>{P7}<div class='related-reading'><ul><li><a href=1>One thing</a><li><a href=2>Other</a></ul></div></article>", "S"),
+        (f"<body><div class='cookie-notice'>We use cookies, many, of them.</div><div id=wrap><div><a href=1>Home</a> <a href=2>News</a></div><div class=text>{P7 * 2}</div></div><div>© 2024 us</div></body>", "S\n\nS"),
+        (f"<main><h1>T</h1><article>{P7}<article class='comment'><p>I, too, think, so.</p></article></article></main>", "T\n\nS"),
+        (f"<article>{P7}<!-- a --><!----><p>b<!-->c--></p><!-- never closed", "S\n\nbc-->"),
+        ("<p>1 < 2 and 3<4 <5</p>", "1 < 2 and 3<4 <5"),
+    ],
+)
+def test_op7_keeps_the_article_only(html, want):
+    sentence = "Sentence one, with commas, and some more words that go on for a while, as prose does."
+    assert html_text.main_text(html).replace(sentence, "S") == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 70_000 + "</b>" * 140_000, "<i><div>" + "<span>" * 50_000 + "</i>" * 160_000, "<a " * 330_000, "<a x='" * 80_000 + '<a x="' * 80_000, "<p><div>" + "<span>" * 400 + "<p></p>" * 130_000, "<" * 1_000_000, "<div>" * 200_000 + "x",
+     "<!--" * 250_000, "<script></scrip>" * 60_000, "<li>" * 250_000, "<table><tr><td>" * 66_000, "<div class='" + "ad-" * 300_000 + "x'>y", "<b><p>" * 160_000, "<a " + "= " * 500_000, "&" * 1_000_000],
+)
+def test_op7_takes_time_in_proportion(page):
+    import time
+
+    began = time.thread_time()
+    html_text.main_text(page)
+    once = time.thread_time() - began
+    html_text.main_text(page[: len(page) // 4])
+    quarter = time.thread_time() - began - once
+    assert once < max(12 * quarter, 1.5)  # 4 in proportion, 16 if quadratic
+
+
+def test_op7_scores_as_by_hand():
+    """Points, links and lengths of every node, recomputed from the definition for each node alone."""
+    import random
+
+    rng = random.Random(5)
+    tags = ["p", "div", "section", "ul", "li", "a", "b", "article", "blockquote", "span", "h2"]
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return " ".join(rng.choice(["word,", "some", "text", "here"]) for _ in range(rng.randint(0, 14)))
+        t = rng.choice(tags)
+        return f"<{t}>" + "".join(made(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{t}>"
+
+    for _ in range(60):
+        nodes = html_text._walk(html_text.parse("<body>" + "".join(made(5) for _ in range(4))))
+        html_text._measure(nodes)
+        html_text._score([n for n in nodes if not n.cut])
+
+        def text(n, linked=False, links_only=False, inline_only=False):
+            linked = linked or n.tag == "a"
+            for c in n.children:
+                if isinstance(c, str):
+                    if linked or not links_only:
+                        yield c.strip()
+                elif not inline_only or c.tag in html_text._INLINE:
+                    yield from text(c, linked, links_only, inline_only)
+
+        for n in nodes:
+            assert (n.length, n.linked) == (sum(map(len, text(n))), sum(map(len, text(n, links_only=True))))
+            assert (n.inline, n.commas) == (sum(map(len, text(n, inline_only=True))), sum(x.count(",") for x in text(n, inline_only=True)))
+            points = 0.0
+            for m in nodes:
+                up, first = [], m.parent if m.tag in html_text._PARAGRAPH else m
+                while first is not None:
+                    up.append(first)
+                    first = first.parent
+                if n in up[: html_text.GIVEN]:
+                    k = up.index(n)
+                    points += html_text.worth(m) * (1.0 if k == 0 else 0.5 if k == 1 else 0.5 / (1.5 * k))
+            assert n.points == pytest.approx(points)
+
+
 def test_op7_rows(spark, small):
     got = QUERIES["op7_html_text"](spark, small).collect()
     assert len(got) == 8 and all(r.n_chars == len(r.text) for r in got) and {r.text for r in got if r.page_id in (2, 4)} == {""}
