@@ -1,17 +1,19 @@
 """Near-duplicate removal: one document of each group of similar texts stays.
 
-Two texts are linked when the Jaccard likeness of their sets of word shingles is ``likeness`` or more; every
-candidate is decided exactly. Most links are found cheaply: by covering SimHash (``simhash.links``) and by bands
-of minimum hashes, each member against its band's smallest and largest. Then an exact join proposes every pair
-that these have not put into one component yet: a text of n shingles posts its n - ceil(likeness n) + 1 smallest
-shingle hashes, of which two linked texts share one. A pair under a hash is left out only where sizes, places in
-both posts, or signatures (each shingle flips one bit, so differing bits are differing shingles) prove it below
-``likeness``. A hash that many texts post is compared block by block. Of each component the text with the
-smallest document id stays.
-
-Results: null and blank texts are one group; exact copies are one group; of repeated rows one stays; a
-document without an id stays only where its group has none with one. Columns are those of the input. Texts are
-named by a 64-bit hash; two different texts that share one would count as equal.
+Two texts are linked when the Jaccard likeness of their sets of word shingles is ``likeness`` or more. One pass
+makes a small sketch of every whole text: SimHash fingerprint, bands of minimum hashes, number of shingles, a
+signature, and the posts of an exact join. Covering SimHash (``simhash.links``) and the bands, whose members meet
+the band's smallest, put most groups together cheaply. An exact join then proposes every pair of texts that these
+have not put into one component: a text of n shingles posts its n - ceil(likeness n) + 1 smallest shingle hashes,
+of which two linked texts share one. A pair is left out only where sizes, places in both posts, or signatures (each
+shingle flips one bit, so differing bits are differing shingles) prove it below ``likeness``; the others are decided
+on the sets of all their shingle hashes (64 bits a shingle). Only posts that several texts share go on from the first shuffle, by a bitmap of bounded
+size that lets others pass only by chance; a hash that many texts post is compared block by block. Of each component
+the text with the smallest document id stays.
+
+Results: null and blank texts are one group; exact copies are one group; of repeated rows one stays; a document
+without an id stays only where its group has none with one. Columns are those of the input. Texts are named by 64
+bits of a 128-bit hash, and where two texts share these, by all of it.
 """
 
 from __future__ import annotations
@@ -22,18 +24,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, partitions
+from ..session import cut, partitions, remove, shared_path
 from . import simhash
+from .memo import Memo
 
-SHINGLE, LIKENESS, BANDS, ROWS = 5, 0.8, 20, 5
+SHINGLE, LIKENESS, BANDS, ROWS = 5, 0.8, 8, 4
 #: Texts of a block; those that post one hash are compared by pairs of blocks.
 BLOCK = 1024
+#: Rows of a table of two numbers that may be broadcast; larger ones are shuffled. Bits (as a power of two) of a bitmap.
+SMALL, MOST_BITS = 1_000_000, 26
+#: Words whose hash a worker remembers.
+WORDS = 400_000
 _RNG = np.random.default_rng(2024)
 _FACTOR = _RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TAPS = (0, 19, 38)
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> list[bytes]:
@@ -41,12 +50,30 @@ def shingles(text: str | None, k: int = SHINGLE) -> list[bytes]:
     return [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
 
 
-def bands(text: str | None) -> list[int]:
-    """A signed 64-bit key for each band of minimum hashes."""
-    parts = shingles(text)
-    if not parts:
+class Shingler:
+    """Hashes of the word shingles of texts; remembers words."""
+
+    def __init__(self, k: int = SHINGLE):
+        self.k, self.words = k, Memo(xxhash.xxh64_intdigest, WORDS)
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """A hash for each shingle in its place, repeats included."""
+        words = (text or "").encode().lower().split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        k = min(self.k, len(h))
+        out = np.zeros(len(h) - k + 1, np.uint64)
+        for i in range(k):
+            out = (out ^ h[i : i + len(out)]) * _MIX
+            out ^= out >> np.uint64(29)
+        return out
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of minimum hashes of a set."""
+    if not len(h):
         return [0] * BANDS
-    h = np.unique(np.array([xxhash.xxh64_intdigest(p) for p in set(parts)], np.uint64))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 4096):
         mixed = h[at : at + 4096, None] * _FACTOR[None, :] + _SHIFT[None, :]
@@ -56,60 +83,69 @@ def bands(text: str | None) -> list[int]:
     return [xxhash.xxh64_intdigest(packed[i * step : (i + 1) * step], i) - (1 << 63) for i in range(BANDS)]
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fp = np.array([simhash.fingerprint(t, SHINGLE) for t in texts], np.uint64).view(np.int64)
-            keys = pa.array([bands(t) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), keys], names=["id", "tk", "fp", "bands"])
+def posts(h: np.ndarray, likeness: float = LIKENESS) -> tuple[bytes, np.ndarray]:
+    """Signature and posted hashes (smallest first) of a sorted set; a text without words posts 0."""
+    n = len(h)
+    width = 64 << max(0, n.bit_length() - 7)  # bits: the power of two up to n, 64 at least
+    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) % 2
+    posted = h[: n - math.ceil(likeness * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), posted.view(np.int64)
+
 
+def text_hash(text: Column, part: int) -> Column:
+    """One of the two 64-bit halves of a text's name."""
+    return F.xxhash64(text, F.lit(part))
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``__k1`` and ``__k2``, both halves of the name of the row's text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(run, "id long, tk long, fp long, bands array<long>")
+    return docs.withColumns({"__k1": text_hash(text, 1), "__k2": text_hash(text, 2)})
+
 
+def _named(rows: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """Adds ``tk``, one long for each text: its first half, or where other texts share that, a hash of both."""
+    if clashing is None:
+        return rows.withColumn("tk", F.col("__k1"))
+    marked = rows.join(F.broadcast(clashing.withColumn("__clash", F.lit(True))), "__k1", "left")
+    return marked.withColumn("tk", F.when(F.col("__clash"), F.xxhash64("__k1", "__k2")).otherwise(F.col("__k1"))).drop("__clash")
 
-def _ends(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Candidates: each member of a group with the group's smallest and largest."""
-    ends = rows.groupBy(*by).agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).where("lo <> hi").repartition(partitions(rows.sparkSession))
-    joined = rows.join(ends, by)
-    return joined.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("tk").alias("b")), F.struct(F.col("tk").alias("a"), F.col("hi").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
 
+def _sketches(docs: DataFrame, id_col: str, text_col: str, likeness: float) -> DataFrame:
+    names = ["id", "__k1", "__k2", "fp", "n", "sig", "bands", "posted"]
 
-def _alike(pairs: DataFrame, likeness: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            last, held, keep = None, frozenset(), []
-            for x, t, u in zip(a, ta, tb):
-                if x != last:
-                    last, held = x, frozenset(shingles(t))
-                other = frozenset(shingles(u))
-                both = len(held & other)
-                keep.append(both >= likeness * (len(held) + len(other) - both))
-            rows = [i for i, k in enumerate(keep) if k]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in rows], pa.int64()), pa.array([b[i] for i in rows], pa.int64())], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def posts(text: str | None, likeness: float = LIKENESS) -> tuple[int, bytes, list[int]]:
-    """Number of shingles, signature and posted hashes (smallest first) of one text; texts without words post 0."""
-    h = np.unique(np.array([xxhash.xxh64_intdigest(p) for p in set(shingles(text))], np.uint64))
-    n = len(h)
-    width = 64 << max(0, n.bit_length() - 7)  # bits: the power of two up to n, 64 at least
-    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) % 2
-    posted = h[: n - math.ceil(likeness * n - 1e-9) + 1].view(np.int64).tolist()
-    return n, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), posted or [0]
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                fp, n, sig, band, posted = [], [], [], [], []
+                for text in part.column(3).to_pylist():
+                    every = shingler.hashes(text)
+                    h = np.unique(every)
+                    s, p = posts(h, likeness)
+                    fp.append(simhash.majority(every) if len(every) else 0)
+                    n.append(len(h))
+                    sig.append(s)
+                    band.append(bands(h))
+                    posted.append(p)
+                ends = pa.array(np.append(0, np.cumsum([len(p) for p in posted])).astype(np.int32))
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(posted)))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *columns], names=names)
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), "__k1", "__k2", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "id long, __k1 long, __k2 long, fp long, n int, sig binary, bands array<long>, posted array<long>")
 
-def _posts(docs: DataFrame, text_col: str, likeness: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, sig, posted = zip(*(posts(t, likeness) for t in batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(posted, pa.list_(pa.int64()))], names=["tk", "n", "sig", "posted"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(run, "tk long, n int, sig binary, posted array<long>")
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
+def _met(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Candidates: each member of a group with the group's smallest."""
+    least = rows.groupBy(*by).agg(F.min("tk").alias("a"), F.max("tk").alias("hi")).where("a <> hi").drop("hi").repartition(partitions(rows.sparkSession))
+    return rows.join(least, by).where("tk <> a").select("a", F.col("tk").alias("b"))
 
 
 def _folded(sigs: list[bytes], width: int) -> np.ndarray:
@@ -145,19 +181,101 @@ def _possible(members: list[dict], cross: bool, likeness: float) -> list[tuple[i
     return out
 
 
-def _rest(docs: DataFrame, tree: DataFrame, text_col: str, likeness: float) -> DataFrame:
+def _apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two signatures, the longer one folded: at most so many shingles differ, at least."""
+    w = min(len(a), len(b))
+    x, y = (_folded([s], w)[0] for s in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, likeness: float) -> DataFrame:
+    """Pairs that sizes and signatures don't prove below ``likeness``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, n, s, t = (c.to_pylist() for c in batch.columns)
+            keep = [i for i in range(len(a)) if min(m[i], n[i]) >= likeness * max(m[i], n[i]) - 1e-9 and _apart(s[i], t[i]) <= (1 - likeness) / (1 + likeness) * (m[i] + n[i]) + 1e-9]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    side = lambda c: sketches.select(F.col("tk").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def _linked(rows: DataFrame, pairs: DataFrame, likeness: float) -> DataFrame:
+    """The candidates whose whole texts (``tk``, ``text``) are alike."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            packed = [np.unique(shingler.hashes(t)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["tk", "h"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                h, g = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(h, g, assume_unique=True))
+                if both >= likeness * (len(h) + len(g) - both) - 1e-9:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    pairs = cut(pairs)
+    asked = cut(pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).distinct())
+    # copies are combined by each task before the shuffle, so that a much copied text stays small there
+    texts = rows.join(_small(asked), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
+    hashed = cut(texts.select("tk", "text").mapInArrow(sets, "tk long, h binary"))
+    side = lambda c: hashed.select(F.col("tk").alias(c), F.col("h").alias(f"h_{c}"))
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(alike, "a long, b long"))
+
+
+def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """64-bit words of a bitmap that holds three bits of each key, at most 2 ** ``MOST_BITS`` bits whatever ``n``."""
+    bits = min(MOST_BITS, max(16, (12 * n).bit_length()))
+    places = F.explode(F.array(*(F.shiftrightunsigned("key", t).bitwiseAND(F.lit((1 << bits) - 1)) for t in _TAPS)))
+    word = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x"))
+    found = word.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found.column("w").to_numpy()] = found.column("x").to_numpy().view(np.uint64)
+    return out
+
+
+def _holds(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    mask, out = np.uint64(64 * len(words) - 1), np.ones(len(keys), bool)
+    for t in _TAPS:
+        at = (keys.view(np.uint64) >> np.uint64(t)) & mask
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def _rest(seen: DataFrame, tree: DataFrame, likeness: float) -> DataFrame:
     """Candidates ``a`` < ``b``: all pairs of texts that can be linked but are in two components of ``tree``."""
+    spark = seen.sparkSession
+    shared = seen.select("tk", F.explode("posted").alias("key")).groupBy("key").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).where("lo <> hi").select("key")
+    shared = cut(shared)
+    words = spark.sparkContext.broadcast(_bitmap(shared, shared.count()))
+    names = ["tk", "n", "sig", "pos", "key"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, keys = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            ends, keys = ends - ends[0], keys[ends[0] : ends[-1]]
+            at = np.flatnonzero(_holds(words.value, keys))
+            row = np.searchsorted(ends, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(3)), pa.array((at - ends[row]).astype(np.int32)), pa.array(keys[at])], names=names)
+
     known = tree.select(F.col("node").alias("tk"), "root")
-    sets = _posts(docs, text_col, likeness).groupBy("tk").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("posted").alias("posted"))
-    sets = cut(sets.join(known, "tk", "left").withColumn("comp", F.coalesce("root", "tk")).drop("root"))
-    several = sets.select("comp", F.explode("posted").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    several = cut(several.where("lo <> hi").select("key", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks")))
-    places = sets.select("tk", F.posexplode("posted").alias("pos", "key")).join(several, "key")
-    placed = places.join(sets.select("tk", "n", "comp", "sig"), "tk").withColumn("own", F.pmod(F.xxhash64("tk", F.lit(7)), "blocks").cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = seen.select("tk", "n", "sig", "posted").mapInArrow(placed, "tk long, n int, sig binary, pos int, key long")
+    rows = rows.groupBy("tk", "key").agg(*(F.first(c).alias(c) for c in ("n", "sig", "pos")))  # copies post the same
+    rows = cut(rows.join(known, "tk", "left").withColumn("comp", F.coalesce("root", "tk")).drop("root"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    several = several.select("key", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(several, "key").withColumn("own", F.pmod(F.xxhash64("tk", F.lit(7)), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.groupBy("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")).agg(F.collect_list(F.struct("tk", "n", "pos", "comp", "own", "sig")).alias("members"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -165,41 +283,44 @@ def _rest(docs: DataFrame, tree: DataFrame, text_col: str, likeness: float) -> D
                 found = {p for c, m in zip(cross, members) for p in _possible(m, c, likeness)}
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return groups.where(F.size("members") > 1).select((F.col("one") != F.col("two")).alias("cross"), "members").mapInArrow(run, "a long, b long")
-
-
-def _linked(docs: DataFrame, pairs: DataFrame, text_col: str, likeness: float) -> DataFrame:
-    """The candidates whose whole texts are alike."""
-    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    pairs = cut(pairs.distinct())
-    asked = cut(pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).distinct())
-    # copies are combined by each task before the shuffle, so that a much copied text stays small there
-    texts = docs.select(text_key.alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("tk").agg(F.first("text").alias("text"))
-    texts = cut(texts.join(asked, "tk", "left_semi"))
-    side = lambda c: texts.select(F.col("tk").alias(c), F.col("text").alias(f"text_{c}"))
-    return cut(_alike(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b"), likeness))
+    return groups.where(F.size("members") > 1).select((F.col("one") != F.col("two")).alias("cross"), "members").mapInArrow(compared, "a long, b long").distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = LIKENESS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates."""
-    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    seen = cut(_sketches(docs, id_col, text_col))
-    first = seen.groupBy("tk", "id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    nodes = cut(first.groupBy("tk").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("top"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    banded = nodes.select("tk", F.posexplode("bands").alias("band", "key"))
+    spark = docs.sparkSession
+    keyed = _keyed(docs, text_col)
+    folder = shared_path(spark, "near-dedup")
+    _sketches(keyed, id_col, text_col, likeness).write.parquet(folder)
+    seen = spark.read.parquet(folder)
+    clashing = cut(seen.groupBy("__k1").agg(F.min("__k2").alias("lo"), F.max("__k2").alias("hi")).where("lo <> hi").select("__k1"))
+    clashing = None if clashing.isEmpty() else clashing
+    seen = _named(seen, clashing)
+    first = cut(seen.groupBy("tk", "id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp")))
+    nodes = cut(first.groupBy("tk").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("top"), F.first("fp").alias("fp")))
     same = nodes.select("tk", "fp")
     speaker = same.groupBy("fp").agg(F.min("tk").alias("tk"))
     fp_links = simhash.links(speaker.select("fp"))
     said = lambda c: speaker.select(F.col("fp").alias(f"fp_{c}"), F.col("tk").alias(c))
     near = fp_links.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(said("a"), "fp_a").join(said("b"), "fp_b").select("a", "b")
-    pairs = _ends(banded, ["band", "key"]).unionByName(_ends(same, ["fp"])).unionByName(near)
-    edges = _linked(docs, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), text_col, likeness)
-    rest = _linked(docs, _rest(docs, simhash.components(edges), text_col, likeness), text_col, likeness)
+    banded = seen.select("tk", F.posexplode("bands").alias("band", "key")).distinct()
+    pairs = _met(banded, ["band", "key"]).unionByName(_met(same, ["fp"])).unionByName(near)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketches = seen.select("tk", "n", "sig").dropDuplicates(["tk"])
+    rows = _named(keyed.select("__k1", "__k2", F.coalesce(F.col(text_col), F.lit("")).alias("text")), clashing).select("tk", "text")
+    edges = _linked(rows, _likely(pairs, sketches, likeness), likeness)
+    rest = _linked(rows, _rest(seen, simhash.components(edges), likeness), likeness)
     tree = simhash.components(edges.unionByName(rest))
     rooted = nodes.select("tk", "top").join(tree.select(F.col("node").alias("tk"), "root"), "tk", "left").select("tk", "top", F.coalesce("root", "tk").alias("root"))
-    kept = cut(rooted.groupBy("root").agg(F.min(F.struct("top", "tk")).alias("best")).select(F.col("best.tk").alias("__tk"), F.col("best.top.id").alias("__id"), (F.col("best.top.n") > 1).alias("__again")))
-    keyed = docs.withColumn("__key", text_key)
-    here = (F.col("__key") == F.col("__tk")) & keyed[id_col].cast("long").eqNullSafe(F.col("__id"))
-    single = keyed.join(kept.where("not __again"), here).select(*(keyed[c] for c in docs.columns))
-    again = keyed.join(kept.where("__again"), here).dropDuplicates(["__key"]).select(*docs.columns)
-    return single.unionByName(again)
+    kept = cut(rooted.groupBy("root").agg(F.min(F.struct("top", "tk")).alias("best")).select("best.tk", F.col("best.top.id").alias("id"), (F.col("best.top.n") > 1).alias("again")))
+    once = kept.where("not again").select(F.col("tk").alias("__tk"), F.col("id").alias("__kept"))
+    gone = cut(first.select("tk", "id").alias("f").join(once.alias("o"), (F.col("f.tk") == F.col("o.__tk")) & F.col("f.id").eqNullSafe(F.col("o.__kept")), "left_anti").select(F.col("f.tk").alias("__tk"), F.col("f.id").alias("__gone")))
+    again = cut(kept.where("again").select(F.col("tk").alias("__tk"), F.col("id").alias("__kept")))
+    remove(spark, folder)
+    every = _named(keyed, clashing).withColumnRenamed("tk", "__tk")
+    own = every[id_col].cast("long")
+    single = every.join(_small(gone), (every["__tk"] == gone["__tk"]) & own.eqNullSafe(gone["__gone"]), "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return single
+    repeated = every.join(_small(again), (every["__tk"] == again["__tk"]) & own.eqNullSafe(again["__kept"]), "left_semi").dropDuplicates(["__tk"]).select(*docs.columns)
+    return single.unionByName(repeated)

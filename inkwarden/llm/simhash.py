@@ -27,6 +27,8 @@ from ..session import cut, partitions
 
 #: Members of a group that one task compares; larger groups are covered again.
 GROUP = 512
+#: Parts in which the members of a component meet its root.
+SALTS = 64
 _BLOCK, _ALL = 65536, (1 << 64) - 1
 
 
@@ -42,13 +44,16 @@ def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), _BLOCK):
-        spans = zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist())
-        h = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), "<u8", len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
@@ -173,13 +178,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, radius: int = 4) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     tree = components(links(distinct.select("fp"), radius))
     linked = tree.select(F.col("node").alias("fp"), "root").unionByName(tree.select(F.col("root").alias("fp"), "root")).distinct()
-    rooted = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(roots, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    linked = cut(linked.join(distinct, "fp"))
+    # a root may hold a third of all fingerprints: dealt by salt, each part meets a copy of the root's row
+    roots = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(roots, ["root", "salt"]).select("fp", "component_id")
+    alone = distinct.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return rows.join(cut(named.unionByName(alone)), "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def hex16(fp: Column) -> Column:

@@ -424,11 +424,19 @@ def test_near_dedup_finds_every_pair(spark, monkeypatch):
     assert sum(find(i) == 500 for i in star) > 900 and alike < 5000
     want = sorted({find(i) for i in texts})
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    for block in (near_dedup.BLOCK, 100):  # 100: pairs of blocks
-        monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    for block, bits in ((near_dedup.BLOCK, 26), (100, 6)):  # 100: pairs of blocks; 6: a bitmap that holds everything back no longer
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "MOST_BITS", bits)
         assert sorted(r.doc_id for r in near_dedup.deduplicate(df, "doc_id", "text").collect()) == want
 
 
+def test_near_dedup_tells_texts_apart_whose_hashes_clash(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "text_hash", lambda text, part: F.xxhash64(text, F.lit(part)) if part == 2 else F.xxhash64(text).bitwiseAND(F.lit(7)))
+    texts = {i: " ".join(f"w{i} {j}" for j in range(30)) for i in range(60)}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(100 + i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(df, "doc_id", "text").collect()) == list(range(60))
+
+
 def test_pipeline(spark, small, empty, sf, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "mixing", "encoding"]
     for folder in (small, empty):
