@@ -6,13 +6,15 @@ which the target is reached is taken in part. Every source has a weight schedule
 line from ``1 - tilt`` to ``1 + tilt``; its integral is the source's cumulative demand. Inverting the demand
 at the middle of a take gives the take's training position between 0 and 1.
 
-Results: null texts have size 0; a null source is a source of its own, after all others; null ids are
-served in one place of the order; repeated rows are each taken as rows of their own; empty input gives no
-rows. Rows of size 0 are never taken and have no position.
+Results: null texts have size 0; a null source is a source of its own, after all others; rows without an id
+have places by their size; repeated rows are each taken as rows of their own; empty input gives no rows. Rows of
+size 0 are never taken and have no position.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from ..session import cut
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: Tilt of the schedule of each weight: heavy sources come early, light ones late.
 TILTS = (-0.5, 0.0, 0.5)
-#: Hexadecimal digits of the order key that deal a source's documents to ranges.
-DIGITS = 3
+#: Rows of a range of the order, about; ranges share leading hexadecimal digits of the order key, at most so many.
+ROWS, MOST_DIGITS = 4000, 6
 
 
 def n_words(text: Column) -> Column:
@@ -54,19 +56,26 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     return level.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def takes(docs: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
-    """``id``, ``source``, ``size``, ``source_size``, ``target``, ``rank``, ``first_taken``, ``again_taken`` and
-    the two takes' training positions."""
-    order = F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit("0"))
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("order", order))
-    ranged = sized.withColumn("range", F.substring("order", 1, DIGITS))
-    sums = cut(ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
-    goals = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")))
-    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.withColumn("offset", before).alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("g.*", "o.range", "o.offset")
-    placed = ranged.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.range") == F.col("o.range")))
-    within = Window.partitionBy("rank", "range").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("d.id", "d.source", "d.size", "d.order", "d.range", "o.rank", "o.offset", "o.source_size", "o.target")
+def takes(docs: DataFrame, id_col: str, source_col: str, size: Column, carried: Column | None = None) -> DataFrame:
+    """``id``, ``source``, ``size``, ``source_size``, ``target``, ``rank``, ``first_taken``, ``again_taken``, the two
+    takes' training positions, and ``carried`` of each row.
+
+    A document's place depends on its id and size only; a source's documents are dealt to ranges of places, whose
+    sums give each range its offset.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"), (F.lit(None) if carried is None else carried).alias("carried"))
+    order = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(" "), F.col("size").cast("string")).cast("binary"))
+    # a key that is never null: join and window then share one shuffle
+    rows = rows.withColumns({"order": order, "key": F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))})
+    sized = cut(rows.drop("carried"))
+    digits = max(2, min(MOST_DIGITS, math.ceil(math.log(max(1, sized.count() / ROWS), 16))))
+    range_ = F.substring("order", 1, digits)
+    sums = cut(sized.groupBy("key", range_.alias("range")).agg(F.sum("size").alias("range_size"), F.first("source").alias("source")))
+    goals = targets(sums.groupBy("key").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size")).drop("key"))
+    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.withColumn("offset", before).alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("g.source_size", "g.target", "g.rank", "o.key", "o.range", "o.offset")
+    placed = (rows if carried is not None else sized.withColumn("carried", F.lit(None))).withColumn("range", range_).join(offsets, ["key", "range"])
+    within = Window.partitionBy("key", "range").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
     limit = F.floor("target").cast("long")
     taken = lambda pass_: F.least(F.greatest(limit - F.col("start") - pass_ * F.col("source_size"), F.lit(0)), F.col("size"))
@@ -80,7 +89,7 @@ def takes(docs: DataFrame, id_col: str, source_col: str, size: Column) -> DataFr
         return F.when(F.col(n) > 0, inverse)
 
     out = out.withColumn("first_position", position(0, "first_taken")).withColumn("again_position", position(1, "again_taken"))
-    return out.select("id", "source", "size", "source_size", "target", "rank", "first_taken", "again_taken", "first_position", "again_position")
+    return out.select("id", "source", "size", "source_size", "target", "rank", "first_taken", "again_taken", "first_position", "again_position", "carried")
 
 
 def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -93,14 +102,14 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFra
 def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """The documents that the mix takes, a row for each take, range-sorted by training position; the text of a
     document taken in part ends after its last taken word. Columns stay those of ``docs``."""
-    t = takes(docs, id_col, source_col, n_words(F.col(text_col)))
+    t = takes(docs, id_col, source_col, n_words(F.col(text_col)), F.struct(*docs.columns))
     both = F.array(F.struct(F.col("first_taken").alias("n"), F.col("first_position").alias("position")), F.struct(F.col("again_taken").alias("n"), F.col("again_position").alias("position")))
-    plan = t.select(F.col("id").alias("__id"), F.col("size").alias("__size"), F.explode(F.filter(both, lambda x: x.n > 0)).alias("__take"))
-    joined = docs.join(plan, docs[id_col].cast("long").eqNullSafe(plan["__id"]) & (n_words(docs[text_col]) == plan["__size"]))
-    part = F.array_join(F.slice(F.regexp_extract_all(docs[text_col], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, plan["__take"]["n"].cast("int")), "")
-    text = F.when(plan["__take"]["n"] < plan["__size"], part).otherwise(docs[text_col])
-    cols = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return joined.select(*cols, plan["__take"]["position"].alias("__position")).orderBy("__position", id_col).drop("__position")
+    each = t.select("id", "size", "carried", F.explode(F.filter(both, lambda x: x.n > 0)).alias("take"))
+    own = lambda c: F.col("carried").getField(c)
+    part = F.array_join(F.slice(F.regexp_extract_all(own(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("take.n").cast("int")), "")
+    text = F.when(F.col("take.n") < F.col("size"), part).otherwise(own(text_col))
+    cols = [(text if c == text_col else own(c)).alias(c) for c in docs.columns]
+    return each.orderBy("take.position", "id").select(*cols)
 
 
 #: The mix in DuckDB.
@@ -118,7 +127,7 @@ stop AS (SELECT left2, sharing FROM f WHERE NOT is_full ORDER BY ratio, rank LIM
 g AS (SELECT source, source_size, rank, weight, CASE WHEN is_full THEN 2.0::DOUBLE * source_size
     ELSE weight::DOUBLE * (SELECT left2 FROM stop)::DOUBLE / (2 * (SELECT sharing FROM stop))::DOUBLE END AS target FROM f),
 p AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.rank,
-    coalesce(sum(d.size) OVER (PARTITION BY g.rank ORDER BY coalesce(md5(CAST(d.doc_id AS VARCHAR)), '0'), d.doc_id, d.size
+    coalesce(sum(d.size) OVER (PARTITION BY g.rank ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ' ' || d.size), d.doc_id NULLS FIRST, d.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 t AS (SELECT *, least(greatest(floor(target)::BIGINT - start, 0), size) AS a,

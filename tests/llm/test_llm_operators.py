@@ -456,6 +456,19 @@ def test_mixed_documents_match_the_plan(spark, sf):
     assert mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == plan and mixed.columns == docs.columns
 
 
+def test_mixed_documents_take_repeated_rows_once_each(spark):
+    """Repeated rows, rows of one id and of none: as many words as the plan takes."""
+    rows = [(1, "a b c d", "s"), (1, "a b c d", "s"), (1, "e f g h", "s"), (None, "i j", "s"), (None, "i j", "s"), (None, "k l", "t"), (2, "m n o p q", None), (3, None, "t"), (4, " ", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n_chars": F.lit(1), "key": F.lit("x"), "range": F.lit("x"), "carried": F.lit("x"), "take": F.lit("x"), "position": F.lit(1)}).repartition(3)
+    plan = mixing.mix(df, "doc_id", "text", "source").collect()
+    mixed = mixing.mixed_documents(df, "doc_id", "text", "source")
+    got = mixed.collect()
+    words = lambda rs, i: sum(len(r.text.split()) for r in rs if r.doc_id == i)
+    assert mixed.columns == df.columns and sum(r.taken for r in plan) == sum(len(r.text.split()) for r in got) > 20
+    assert all(sum(r.taken for r in plan if r.doc_id == i) == words(got, i) for i in (None, 1, 2, 3, 4)) and len(got) <= 2 * len(rows)
+    assert got == mixing.mixed_documents(df, "doc_id", "text", "source").collect()
+
+
 def test_linear():
     x = np.array([[0.0], [1], [2], [3]])
     w = linear.logistic(x, np.array([0.0, 0, 1, 1]))
