@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,19 @@ def sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     n = rows.select(key).count()
     bound = (1 << 40) if n <= 2 * most else (1 << 40) * 2 * most // n
     return rows.where(order < bound).orderBy(order, key).limit(most)
+
+
+def carrying(docs: DataFrame, kept: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """``kept`` (struct of its columns), ``text`` unless it is among them, and ``more``: whole texts travel once."""
+    text = [] if text_col in kept.columns else [F.col(text_col).alias("text")]
+    return docs.select(F.struct(*kept.columns).alias("kept"), *text, *more)
+
+
+def text_place(kept: DataFrame, text_col: str) -> int | None:
+    """Where ``carrying`` puts the text: its place in the struct, None for a column of its own."""
+    return kept.columns.index(text_col) if text_col in kept.columns else None
+
+
+def texts(part: pa.RecordBatch, place: int | None) -> list[str | None]:
+    """The texts of a batch of ``carrying``'s rows."""
+    return (part.column(1) if place is None else part.column(0).field(place)).to_pylist()

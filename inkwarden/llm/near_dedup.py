@@ -37,7 +37,7 @@ BLOCK = 1024
 #: Rows of a table of two numbers that may be broadcast; larger ones are shuffled. Bits (as a power of two) of a bitmap.
 SMALL, MOST_BITS = 1_000_000, 26
 #: Words whose hash a worker remembers.
-WORDS = 400_000
+WORDS = 60_000
 _RNG = np.random.default_rng(2024)
 _FACTOR = _RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
@@ -103,12 +103,12 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__k1": text_hash(text, 1), "__k2": text_hash(text, 2)})
 
 
-def _named(rows: DataFrame, clashing: DataFrame | None) -> DataFrame:
-    """Adds ``tk``, one long for each text: its first half, or where other texts share that, a hash of both."""
+def _named(rows: DataFrame, clashing: DataFrame | None, name: str = "tk") -> DataFrame:
+    """Adds ``name``, one long for each text: its first half, or where other texts share that, a hash of both."""
     if clashing is None:
-        return rows.withColumn("tk", F.col("__k1"))
+        return rows.withColumn(name, F.col("__k1"))
     marked = rows.join(F.broadcast(clashing.withColumn("__clash", F.lit(True))), "__k1", "left")
-    return marked.withColumn("tk", F.when(F.col("__clash"), F.xxhash64("__k1", "__k2")).otherwise(F.col("__k1"))).drop("__clash")
+    return marked.withColumn(name, F.when(F.col("__clash"), F.xxhash64("__k1", "__k2")).otherwise(F.col("__k1"))).drop("__clash")
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, likeness: float) -> DataFrame:
@@ -317,7 +317,7 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = L
     gone = cut(first.select("tk", "id").alias("f").join(once.alias("o"), (F.col("f.tk") == F.col("o.__tk")) & F.col("f.id").eqNullSafe(F.col("o.__kept")), "left_anti").select(F.col("f.tk").alias("__tk"), F.col("f.id").alias("__gone")))
     again = cut(kept.where("again").select(F.col("tk").alias("__tk"), F.col("id").alias("__kept")))
     remove(spark, folder)
-    every = _named(keyed, clashing).withColumnRenamed("tk", "__tk")
+    every = _named(keyed, clashing, "__tk")
     own = every[id_col].cast("long")
     single = every.join(_small(gone), (every["__tk"] == gone["__tk"]) & own.eqNullSafe(gone["__gone"]), "left_anti").select(*docs.columns)
     if again.isEmpty():

@@ -161,7 +161,8 @@ def _scored(docs: DataFrame, model: CoTrained | None, text_col: str, meta_cols:
     """``kept`` (struct of columns) and the three scores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     meta = F.array(*(F.col(c).cast("string") for c in meta_cols))
-    rows = docs.select(F.struct(*kept.columns).alias("kept"), F.col(text_col).alias("text"), meta.alias("meta"))
+    place = linear.text_place(kept, text_col)
+    rows = linear.carrying(docs, kept, text_col, meta.alias("meta"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +171,7 @@ def _scored(docs: DataFrame, model: CoTrained | None, text_col: str, meta_cols:
                 if shared.value is None:
                     scores = (np.ones(part.num_rows),) * 3
                 else:
-                    scores = shared.value.score([_views(t, m) for t, m in zip(part.column(1).to_pylist(), part.column(2).to_pylist())])
+                    scores = shared.value.score([_views(t, m) for t, m in zip(linear.texts(part, place), part.column(part.num_columns - 1).to_pylist())])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s, pa.float64()) for s in scores)], names=["kept", "quality_score", "text_score", "metadata_score"])
 
     return rows.mapInArrow(run, f"kept {kept.schema.simpleString()}, quality_score double, text_score double, metadata_score double")

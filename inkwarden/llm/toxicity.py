@@ -86,7 +86,7 @@ class Reader:
     """Counts of a model's terms in texts; remembers words."""
 
     def __init__(self, model: Ordinal):
-        self.words = Memo(lambda w: tuple(model.at[t] for t in set(terms(w)) if t in model.at), 200_000)
+        self.words = Memo(lambda w: tuple(model.at[t] for t in set(terms(w)) if t in model.at), 60_000)
 
     def counts(self, text: str | None) -> dict[int, int]:
         """Count of each term; at -1 of words that have any, at -2 of all words."""
@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 def _scored(docs: DataFrame, model: Ordinal | None, text_col: str, kept: DataFrame) -> DataFrame:
     """``kept`` (struct of columns), ``severity`` and ``toxic_probability``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*kept.columns).alias("kept"), F.col(text_col).alias("text"))
+    place = linear.text_place(kept, text_col)
+    rows = linear.carrying(docs, kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -152,7 +153,7 @@ def _scored(docs: DataFrame, model: Ordinal | None, text_col: str, kept: DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                p = model.at_least([reader.counts(t) for t in part.column(1).to_pylist()]) if model is not None else np.zeros((part.num_rows, 1))
+                p = model.at_least([reader.counts(t) for t in linear.texts(part, place)]) if model is not None else np.zeros((part.num_rows, 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.sum(axis=1), pa.float64()), pa.array(p[:, 0], pa.float64())], names=["kept", "severity", "toxic_probability"])
 
     return rows.mapInArrow(run, f"kept {kept.schema.simpleString()}, severity double, toxic_probability double")
