@@ -29,10 +29,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, unless the session has a number of its own: texts are long, and a batch is held several times.
+BATCH = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the workers unless their path has it (``PYTHONPATH`` or the working folder)."""
+    """Sends this package to the workers unless their path has it (``PYTHONPATH`` or the working folder), and
+    bounds Arrow batches where the session leaves them at Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     root, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
     known = {os.path.realpath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
     if str(root) in known or sc.applicationId in _shipped:
