@@ -32,6 +32,8 @@ from . import simhash
 from .memo import Memo
 
 SHINGLE, LIKENESS, BANDS, ROWS = 5, 0.8, 8, 4
+#: How much wider than those that go with posts the signatures are that sieve pairs.
+WIDE = 8
 #: Texts of a block; those that post one hash are compared by pairs of blocks.
 BLOCK = 1024
 #: Rows of a table of two numbers that may be broadcast; larger ones are shuffled. Bits (as a power of two) of a bitmap.
@@ -83,13 +85,17 @@ def bands(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(packed[i * step : (i + 1) * step], i) - (1 << 63) for i in range(BANDS)]
 
 
-def posts(h: np.ndarray, likeness: float = LIKENESS) -> tuple[bytes, np.ndarray]:
-    """Signature and posted hashes (smallest first) of a sorted set; a text without words posts 0."""
-    n = len(h)
-    width = 64 << max(0, n.bit_length() - 7)  # bits: the power of two up to n, 64 at least
+def signature(h: np.ndarray, times: int = 1) -> bytes:
+    """A set's bits, each flipped once for every hash that falls on it: ``times`` the power of two up to its size, 64 at least."""
+    width = times * (64 << max(0, len(h).bit_length() - 7))
     odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) % 2
-    posted = h[: n - math.ceil(likeness * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes(), posted.view(np.int64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def posts(h: np.ndarray, likeness: float = LIKENESS) -> np.ndarray:
+    """Posted hashes (smallest first) of a sorted set; a text without words posts 0."""
+    n = len(h)
+    return (h[: n - math.ceil(likeness * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)).view(np.int64)
 
 
 def text_hash(text: Column, part: int) -> Column:
@@ -112,29 +118,29 @@ def _named(rows: DataFrame, clashing: DataFrame | None, name: str = "tk") -> Dat
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, likeness: float) -> DataFrame:
-    names = ["id", "__k1", "__k2", "fp", "n", "sig", "bands", "posted"]
+    names = ["id", "__k1", "__k2", "fp", "n", "sig", "wide", "bands", "posted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                fp, n, sig, band, posted = [], [], [], [], []
+                fp, n, sig, wide, band, posted = [], [], [], [], [], []
                 for text in part.column(3).to_pylist():
                     every = shingler.hashes(text)
                     h = np.unique(every)
-                    s, p = posts(h, likeness)
                     fp.append(simhash.majority(every) if len(every) else 0)
                     n.append(len(h))
-                    sig.append(s)
+                    sig.append(signature(h))
+                    wide.append(signature(h, WIDE))
                     band.append(bands(h))
-                    posted.append(p)
+                    posted.append(posts(h, likeness))
                 ends = pa.array(np.append(0, np.cumsum([len(p) for p in posted])).astype(np.int32))
-                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(posted)))]
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(posted)))]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *columns], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), "__k1", "__k2", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, __k1 long, __k2 long, fp long, n int, sig binary, bands array<long>, posted array<long>")
+    return rows.mapInArrow(run, "id long, __k1 long, __k2 long, fp long, n int, sig binary, wide binary, bands array<long>, posted array<long>")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -197,8 +203,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame, likeness: float) -> DataFrame
             keep = [i for i in range(len(a)) if min(m[i], n[i]) >= likeness * max(m[i], n[i]) - 1e-9 and _apart(s[i], t[i]) <= (1 - likeness) / (1 + likeness) * (m[i] + n[i]) + 1e-9]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    side = lambda c: sketches.select(F.col("tk").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    side = lambda c: sketches.select(F.col("tk").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
 
 
 def _linked(rows: DataFrame, pairs: DataFrame, likeness: float) -> DataFrame:
@@ -306,10 +312,10 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = L
     banded = seen.select("tk", F.posexplode("bands").alias("band", "key")).distinct()
     pairs = _met(banded, ["band", "key"]).unionByName(_met(same, ["fp"])).unionByName(near)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketches = seen.select("tk", "n", "sig").dropDuplicates(["tk"])
+    sketches = cut(seen.select("tk", "n", "wide").dropDuplicates(["tk"]))
     rows = _named(keyed.select("__k1", "__k2", F.coalesce(F.col(text_col), F.lit("")).alias("text")), clashing).select("tk", "text")
     edges = _linked(rows, _likely(pairs, sketches, likeness), likeness)
-    rest = _linked(rows, _rest(seen, simhash.components(edges), likeness), likeness)
+    rest = _linked(rows, _likely(_rest(seen, simhash.components(edges), likeness), sketches, likeness), likeness)
     tree = simhash.components(edges.unionByName(rest))
     rooted = nodes.select("tk", "top").join(tree.select(F.col("node").alias("tk"), "root"), "tk", "left").select("tk", "top", F.coalesce("root", "tk").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min(F.struct("top", "tk")).alias("best")).select("best.tk", F.col("best.top.id").alias("id"), (F.col("best.top.n") > 1).alias("again")))
