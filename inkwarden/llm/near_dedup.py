@@ -255,29 +255,36 @@ def _holds(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rest(seen: DataFrame, tree: DataFrame, likeness: float) -> DataFrame:
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, smaller there than a checkpoint."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _rest(seen: DataFrame, tree: DataFrame, likeness: float, folder: str) -> DataFrame:
     """Candidates ``a`` < ``b``: all pairs of texts that can be linked but are in two components of ``tree``."""
     spark = seen.sparkSession
     shared = seen.select("tk", F.explode("posted").alias("key")).groupBy("key").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).where("lo <> hi").select("key")
     shared = cut(shared)
     words = spark.sparkContext.broadcast(_bitmap(shared, shared.count()))
-    names = ["tk", "n", "sig", "pos", "key"]
+    names = ["tk", "pos", "key"]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends, keys = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            ends, keys = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
             ends, keys = ends - ends[0], keys[ends[0] : ends[-1]]
             at = np.flatnonzero(_holds(words.value, keys))
             row = np.searchsorted(ends, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(3)), pa.array((at - ends[row]).astype(np.int32)), pa.array(keys[at])], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((at - ends[row]).astype(np.int32)), pa.array(keys[at])], names=names)
 
     known = tree.select(F.col("node").alias("tk"), "root")
-    rows = seen.select("tk", "n", "sig", "posted").mapInArrow(placed, "tk long, n int, sig binary, pos int, key long")
-    rows = rows.groupBy("tk", "key").agg(*(F.first(c).alias(c) for c in ("n", "sig", "pos")))  # copies post the same
-    rows = cut(rows.join(known, "tk", "left").withColumn("comp", F.coalesce("root", "tk")).drop("root"))
+    rows = seen.select("tk", "posted").mapInArrow(placed, "tk long, pos int, key long")
+    rows = rows.groupBy("tk", "key").agg(F.first("pos").alias("pos"))  # copies post the same
+    rows = _stored(rows.join(known, "tk", "left").withColumn("comp", F.coalesce("root", "tk")).drop("root"), f"{folder}/rows")
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = several.select("key", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(several, "key").withColumn("own", F.pmod(F.xxhash64("tk", F.lit(7)), "blocks").cast("int"))
+    # sizes and signatures join what is left only
+    dealt = rows.join(several, "key").join(seen.select("tk", "n", "sig").dropDuplicates(["tk"]), "tk").withColumn("own", F.pmod(F.xxhash64("tk", F.lit(7)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.groupBy("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")).agg(F.collect_list(F.struct("tk", "n", "pos", "comp", "own", "sig")).alias("members"))
 
@@ -297,8 +304,7 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = L
     spark = docs.sparkSession
     keyed = _keyed(docs, text_col)
     folder = shared_path(spark, "near-dedup")
-    _sketches(keyed, id_col, text_col, likeness).write.parquet(folder)
-    seen = spark.read.parquet(folder)
+    seen = _stored(_sketches(keyed, id_col, text_col, likeness), f"{folder}/seen")
     clashing = cut(seen.groupBy("__k1").agg(F.min("__k2").alias("lo"), F.max("__k2").alias("hi")).where("lo <> hi").select("__k1"))
     clashing = None if clashing.isEmpty() else clashing
     seen = _named(seen, clashing)
@@ -312,10 +318,10 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = L
     banded = seen.select("tk", F.posexplode("bands").alias("band", "key")).distinct()
     pairs = _met(banded, ["band", "key"]).unionByName(_met(same, ["fp"])).unionByName(near)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketches = cut(seen.select("tk", "n", "wide").dropDuplicates(["tk"]))
+    sketches = _stored(seen.select("tk", "n", "wide").dropDuplicates(["tk"]), f"{folder}/sketches")
     rows = _named(keyed.select("__k1", "__k2", F.coalesce(F.col(text_col), F.lit("")).alias("text")), clashing).select("tk", "text")
     edges = _linked(rows, _likely(pairs, sketches, likeness), likeness)
-    rest = _linked(rows, _likely(_rest(seen, simhash.components(edges), likeness), sketches, likeness), likeness)
+    rest = _linked(rows, _likely(_rest(seen, simhash.components(edges), likeness, folder), sketches, likeness), likeness)
     tree = simhash.components(edges.unionByName(rest))
     rooted = nodes.select("tk", "top").join(tree.select(F.col("node").alias("tk"), "root"), "tk", "left").select("tk", "top", F.coalesce("root", "tk").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min(F.struct("top", "tk")).alias("best")).select("best.tk", F.col("best.top.id").alias("id"), (F.col("best.top.n") > 1).alias("again")))
