@@ -3,22 +3,60 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII word boundary (Java's own isn't ASCII only).
+#: ASCII word boundary (Java's own isn't ASCII only), and what it comes to before and behind a word character.
 B = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+BEFORE, BEHIND = r"(?<!\w)", r"(?!\w)"
 #: White space as browsers see it.
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
-_MARK = "\u0001"
+#: A sign between pieces, and the one that stands in for it where a text holds it; no pattern tells them apart.
+_MARK, _STAND_IN = "\u0001", "\u0002"
+#: Elements that one inner fold of ``sweep`` takes.
+CHUNK = 128
+SPAN = "array<struct<text:string,start:int,end:int>>"
+
+_ATOM = r"(?:[A-Za-z0-9]|\\d|\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9]|\\d)+\])"
+_OPENS_WORD, _CLOSES_WORD = re.compile(rf"{_ATOM}(?![*?]|\{{0)"), re.compile(rf"{_ATOM}(?:\{{[1-9][0-9,]*\}}|\+)?\)*\Z")
+_TOKEN = re.compile(r"\\.|\[(?:[^\]\\]|\\.)*\]|.", re.S)
+
+
+def opens_word(pattern: str) -> bool:
+    """Whether all matches of a pattern surely begin with a word character."""
+    start = 3 if pattern.startswith("(?:") else 1 if pattern.startswith("(") and not pattern.startswith("(?") else 0
+    if not start:
+        return bool(_OPENS_WORD.match(pattern))
+    depth, alternatives, at = 0, [""], start
+    for m in _TOKEN.finditer(pattern, start):
+        at, t = m.end(), m.group()
+        if t == ")" and depth == 0:
+            break
+        depth += (t == "(") - (t == ")")
+        if t == "|" and depth == 0:
+            alternatives.append("")
+        else:
+            alternatives[-1] += t
+    return not re.match(r"[*?]|\{0", pattern[at:]) and all(map(opens_word, alternatives))
+
+
+def _boundary(before: str, behind: str) -> str:
+    """A boundary between the parts of a pattern: simpler where a word character surely begins or has just ended."""
+    if opens_word(behind):
+        return BEFORE
+    return BEHIND if "|" not in before and _CLOSES_WORD.search(before) else B
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
     """A pattern written with ``\\b``, ``\\s`` and ``\\S`` for Spark: ASCII boundaries, full white space."""
     flag = "(?i)" if pattern.isascii() else "(?iu)"
-    out = pattern.replace(r"\b", B)
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for before, behind in zip(parts, parts[1:]):
+        out += _boundary(before, behind) + behind
     out = re.sub(r"\[((?:[^\]\\]|\\.)*)\\s((?:[^\]\\]|\\.)*)\]", lambda m: f"[{m[1]}{SPACE[1:-1]}{m[2]}]", out)
     out = out.replace(r"\s", SPACE).replace(r"\S", NOT_SPACE)
     return (flag if ignore_case else "") + out
@@ -28,24 +66,55 @@ def any_of(words: list[str]) -> str:
     return "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", w) for w in words)
 
 
-def marked(text: Column, pattern: str, before: bool = False) -> Column:
-    """Pieces of the text; those at odd places are matches (of group 2 after group 1 with ``before``)."""
-    clean = F.replace(text, F.lit(_MARK), F.lit(""))
-    return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"$1{_MARK}$2{_MARK}" if before else f"{_MARK}$0{_MARK}")), _MARK, -1)
+def bind(expression: Column, body) -> Column:
+    """``body`` of an expression that is evaluated once."""
+    return F.transform(F.array(expression), body)[0]
+
+
+def sweep(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step`` gives out, in order, on its way over ``items`` from left to right.
+
+    ``step(state, item)`` gives the next state and an array of what it gives out (``kind``). Items are folded in
+    chunks, so that no array is copied once for every item.
+    """
+    none = F.array().cast(kind)
+
+    def inner(s: Column, x: Column) -> Column:
+        after, out = step(s["state"], x)
+        return F.struct(after.alias("state"), F.concat(s["out"], out).alias("out"))
+
+    def outer(s: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(s["state"].alias("state"), none.alias("out")), inner)
+        return bind(done, lambda d: F.struct(d["state"].alias("state"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+    def folded(a: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest((F.size(a) - 1) / CHUNK, F.lit(0)).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, CHUNK))
+        return F.when(F.size(a) > 0, F.aggregate(chunks, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), outer, lambda s: F.flatten(s["out"]))).otherwise(none)
+
+    return bind(items, folded)
 
 
 def spans(text: Column, pattern: str, before: bool = False) -> Column:
-    """array<struct<text, start, end>> of all matches, left to right; offsets in code points."""
-    kind = "array<struct<text:string,start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("out"))
+    """array<struct<text, start, end>> of all matches (of group 2 after group 1 with ``before``), left to right;
+    offsets in code points of ``text``."""
+    marks = f"$1{_MARK}$2{_MARK}" if before else f"{_MARK}$0{_MARK}"
+
+    def found(t: Column) -> Column:
+        pieces = F.split(F.regexp_replace(t, F.lit(pattern), F.lit(marks)), _MARK, -1)  # those at odd places are matches
+
+        def step(s: Column, piece: Column) -> tuple[Column, Column]:
+            end = s["at"] + F.char_length(piece)
+            one = F.struct(piece.alias("text"), s["at"].alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), (~s["odd"]).alias("odd")), F.when(s["odd"], F.array(one)).otherwise(F.array().cast(SPAN))
+
+        return sweep(pieces, F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd")), SPAN, step)
 
-    def step(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.char_length(piece)
-        found = F.concat(s["out"], F.array(F.struct(piece.alias("text"), s["at"].alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), (~s["odd"]).alias("odd"), F.when(s["odd"], found).otherwise(s["out"]).alias("out"))
+    def own(s: Column) -> Column:
+        return F.struct(F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), s["start"].alias("start"), s["end"].alias("end"))
 
     # most texts have no match: they pay for one search only
-    return F.when(text.rlike(pattern), F.aggregate(marked(text, pattern, before), start, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    held = F.transform(found(F.translate(text, _MARK, _STAND_IN)), own)
+    return F.when(~text.rlike(pattern), F.array().cast(SPAN)).when(F.contains(text, F.lit(_MARK)), held).otherwise(found(text))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:

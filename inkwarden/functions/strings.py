@@ -6,26 +6,20 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import values
-from .rx import any_of, java
+from .rx import any_of, bind, java
 
 
-def bind(expression: Column, body) -> Column:
-    """``body`` of an expression that is evaluated once."""
-    return F.transform(F.array(expression), body)[0]
+def to_alpha(n: Column) -> Column:
+    """1 -> A, 26 -> Z, 27 -> AA, and so on for any number; nothing for others."""
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("out"))
 
+    def step(s: Column, _: Column) -> Column:
+        letter = F.chr(F.lit(65) + F.pmod(s["n"] - 1, F.lit(26)))
+        further = F.struct(F.call_function("div", s["n"] - 1, F.lit(26)).alias("n"), F.concat(letter, s["out"]).alias("out"))
+        return F.when(s["n"] > 0, further).otherwise(s)
 
-def to_alpha(n: Column) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA; to four letters."""
-    n = n.cast("int")
-    letter = lambda k: F.chr(F.lit(65) + F.pmod(k, F.lit(26)))
-    one = n - 1
-    two = F.floor(one / 26).cast("int") - 1
-    three = F.floor(two / 26).cast("int") - 1
-    four = F.floor(three / 26).cast("int") - 1
-    out = letter(one)
-    for k in (two, three, four):
-        out = F.concat(F.when(k >= 0, letter(k)).otherwise(F.lit("")), out)
-    return F.when(n > 0, out).otherwise(F.lit(""))
+    # 14 letters hold every long
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda s: s["out"])
 
 
 def phonetic(s: Column) -> Column:

@@ -95,12 +95,12 @@ def candidates(text: Column, level: str = "demo-safe", active: tuple[str, ...] =
 
 def resolve(found: Column) -> Column:
     """Sorts by start, longer first, emission order; keeps from left to right what begins at or after the last end."""
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast(ENTITY).alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        return F.when(e["start"] < s["end"], s).otherwise(F.struct(e["end"].alias("end"), F.concat(s["out"], F.array(e)).alias("out")))
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        hidden = e["start"] < last
+        return F.when(hidden, last).otherwise(e["end"]), F.when(hidden, F.array().cast(ENTITY)).otherwise(F.array(e))
 
-    return F.aggregate(F.array_sort(found), start, step, lambda s: s["out"])
+    return rx.sweep(F.array_sort(found), F.lit(-1), ENTITY, step)
 
 
 def detect(texts: DataFrame, text_col: str = "text", level: str = "demo-safe", active: tuple[str, ...] = CATEGORIES) -> DataFrame:
@@ -130,11 +130,10 @@ def redact(detected: DataFrame, text_col: str = "text", token: str = "[REDACTED]
 
 def rewrite(text: Column, entities: Column, replacement) -> Column:
     """The text with disjoint sorted entities replaced by ``replacement(entity)``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        kept = F.substring(text, s["at"] + 1, e["start"] - s["at"])
-        return F.struct(e["end"].alias("at"), F.concat(s["out"], kept, replacement(e)).alias("out"))
+    def done(es: Column) -> Column:
+        last = lambda i: F.coalesce(F.get(es, i - 1)["end"], F.lit(0))
+        parts = F.transform(es, lambda e, i: F.concat(F.substring(text, last(i) + 1, e["start"] - last(i)), replacement(e)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, last(F.size(es)) + 1, F.char_length(text)))
 
-    done = F.aggregate(entities, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(entities) == 0, text).otherwise(done)
+    return F.when(F.size(entities) == 0, text).otherwise(bind(entities, done))

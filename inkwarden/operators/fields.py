@@ -113,7 +113,7 @@ def extract(pages: DataFrame, max_year: int, text_col: str = "text", faithful: b
         "emails": plain(emails(text)),
         "phones": plain(phones(text)),
     }
-    out = pages.withColumns({k: F.when(F.size(v) > 0, v) for k, v in found.items()})
+    out = pages.withColumns({k: rx.bind(v, lambda a: F.when(F.size(a) > 0, a)) for k, v in found.items()})
     return out.withColumn("mrz", parse_mrz(mrz_lines(text)))
 
 

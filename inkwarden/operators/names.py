@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import values
+from ..functions import rx, values
 from ..functions.strings import bind, jaro_winkler, phonetic
+from ..session import ship
 
+# Fixed values.
 #: Score from which a fuzzy match counts; weights of spelling and sound; longest span in words.
 ACCEPT, SPELLING, SOUND, LONGEST = 0.82, 0.6, 0.4, 6
-#: Variants that a session's table may have; it is broadcast.
-MOST_VARIANTS = 200_000
+# End of fixed values.
+#: Variants that are compared with a word in one task; a larger table meets the words block by block.
+BLOCK = 50_000
 
 
 def variants(spark: SparkSession, families: dict[str, str] | None = None) -> DataFrame:
@@ -26,27 +33,92 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.schema("canonical string, variants array<string>").json(path).withColumn("entry_ord", F.monotonically_increasing_id())
     each = lines.select("canonical", "entry_ord", F.posexplode("variants").alias("p", "v")).withColumn("variant", F.lower("v"))
     best = each.groupBy("variant").agg(F.max_by("canonical", "entry_ord").alias("canonical"), F.max("entry_ord").alias("entry_ord"), F.min(F.struct("entry_ord", "p")).alias("first"))
-    if best.limit(MOST_VARIANTS + 1).count() > MOST_VARIANTS:
-        raise ValueError(f"a name table has at most {MOST_VARIANTS} variants")
     return best.withColumn("key_ord", F.col("first.entry_ord") * 10_000 + F.col("first.p")).drop("first").withColumn("phon", phonetic(F.col("variant")))
 
 
+class Letters:
+    """Strings as rows of code points, to be compared with one string all at once."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = np.array(strings, object)
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.code = np.full((len(strings), max(1, int(self.size.max(initial=0)))), -1, np.int32)
+        for i, x in enumerate(strings):
+            self.code[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), np.int32)
+
+    def jaro_winkler(self, word: str) -> np.ndarray:
+        """As ``strings.jaro_winkler(word, each)``, to the last bit."""
+        own, (n, width) = np.frombuffer(word.encode("utf-32-le"), np.int32), self.code.shape
+        if not len(own):
+            return (self.size == 0).astype(float)
+        reach = np.maximum(np.maximum(len(own), self.size) // 2 - 1, 0)
+        taken, hit, place = np.zeros((n, width), bool), np.zeros((n, len(own)), bool), np.arange(width)
+        for i, letter in enumerate(own):
+            near = (self.code == letter) & ~taken & (np.abs(place - i) <= reach[:, None])
+            first = near.argmax(axis=1)
+            hit[:, i] = near[np.arange(n), first]
+            taken[np.flatnonzero(hit[:, i]), first[hit[:, i]]] = True
+        m = hit.sum(axis=1)
+        # letters matched on either side, in their own order
+        mine, theirs = np.zeros((n, len(own)), np.int32), np.zeros((n, len(own)), np.int32)
+        for flags, source, out in ((hit, np.broadcast_to(own, hit.shape), mine), (taken, self.code, theirs)):
+            row, at = np.nonzero(flags)
+            out[row, (np.cumsum(flags, axis=1) - 1)[row, at]] = source[row, at]
+        off = (mine != theirs).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(m == 0, 0.0, (m / len(own) + m / self.size + (m - off / 2) / m) / 3)
+        jaro = np.where(self.strings == word, 1.0, jaro)
+        prefix = np.zeros(n)
+        for k in range(1, min(4, len(own), width) + 1):
+            prefix[(self.code[:, :k] == own[:k]).all(axis=1)] = k
+        return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def _nearest(words: pa.Table, variants: pa.Table) -> pa.Table:
+    """The best variant of a table's block for each word (``word``, ``low``, ``sound``), from ``ACCEPT`` on; the first on ties."""
+    rows = variants.sort_by("key_ord")
+    spelled, heard, names, order = Letters(rows["variant"].to_pylist()), Letters(rows["phon"].to_pylist()), rows["canonical"].to_pylist(), rows["key_ord"].to_pylist()
+    out: list[list] = [[], [], [], []]
+    if len(names):
+        for word, low, sound in zip(words["word"].to_pylist(), words["low"].to_pylist(), words["sound"].to_pylist()):
+            score = spelled.jaro_winkler(low) * SPELLING + heard.jaro_winkler(sound) * SOUND
+            best = int(score.argmax())
+            if score[best] >= ACCEPT:
+                for column, x in zip(out, (word, names[best], float(score[best]), order[best])):
+                    column.append(x)
+    return pa.table({"word": pa.array(out[0], pa.string()), "canonical": pa.array(out[1], pa.string()), "score": pa.array(out[2], pa.float64()), "key_ord": pa.array(out[3], pa.int64())})
+
+
 def canonical_names(words: DataFrame, word_col: str, table: DataFrame) -> DataFrame:
     """``word``, ``canonical``, ``method``, ``score`` of each distinct word that has one.
 
-    Known variants are joined; only distinct words without one are compared with the whole (broadcast)
-    table, and of equal scores the first variant wins.
+    Known variants are joined. Only distinct words without one are compared with the table, which Catalyst has no
+    set-at-a-time operator for: in Arrow batches against all variants at once, a table above ``BLOCK`` variants
+    block by block. Of equal scores the first variant wins.
     """
+    ship(words.sparkSession)
     distinct = words.select(F.col(word_col).alias("word")).where("word is not null and word <> ''").distinct().withColumn("low", F.lower(F.trim("word")))
-    dim = F.broadcast(table)
+    few = table.limit(BLOCK + 1).count() <= BLOCK
+    dim = F.broadcast(table) if few else table
     direct = distinct.join(dim, distinct["low"] == table["variant"]).select("word", "canonical", F.lit("direct").alias("method"), F.lit(1.0).alias("score"))
     rest = distinct.join(dim.select("variant"), distinct["low"] == table["variant"], "left_anti").withColumn("sound", phonetic(F.col("low")))
-    # one row for each word: the table is folded within the row instead of multiplying rows
-    packed = table.agg(F.array_sort(F.collect_list(F.struct("key_ord", "variant", "phon", "canonical"))).alias("dim"))
-    score = lambda v: jaro_winkler(F.col("low"), v["variant"]) * SPELLING + jaro_winkler(F.col("sound"), v["phon"]) * SOUND
-    best = F.array_max(F.transform("dim", lambda v: F.struct(score(v).alias("score"), (-v["key_ord"]).alias("back"), v["canonical"].alias("canonical"))))
-    fuzzy = rest.join(F.broadcast(packed)).select("word", best.alias("best")).where(F.col("best.score") >= ACCEPT)
-    return direct.unionByName(fuzzy.select("word", F.col("best.canonical").alias("canonical"), F.lit("fuzzy").alias("method"), F.col("best.score").alias("score")))
+    kind, columns = "word string, canonical string, score double, key_ord long", table.select("variant", "canonical", F.col("key_ord").cast("long").alias("key_ord"), "phon")
+    if few:
+        shared = words.sparkSession.sparkContext.broadcast(columns.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _nearest(pa.Table.from_batches([batch]), shared.value).to_batches()
+
+        found = rest.select("word", "low", "sound").repartition("word").mapInArrow(run, kind)
+    else:
+        n, m = -(-table.count() // BLOCK), max(1, -(-rest.count() // BLOCK))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        asked = rest.select("word", "low", "sound", F.pmod(F.xxhash64("word"), F.lit(m)).cast("int").alias("w"), every(n).alias("v"))
+        known = columns.select("*", F.pmod(F.xxhash64("variant"), F.lit(n)).cast("int").alias("v"), every(m).alias("w"))
+        found = asked.groupBy("v", "w").cogroup(known.groupBy("v", "w")).applyInArrow(_nearest, kind)
+    best = found.groupBy("word").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", (-F.col("key_ord")).alias("back"))).alias("best"))
+    return direct.unionByName(best.select("word", "best.canonical", F.lit("fuzzy").alias("method"), "best.score"))
 
 
 def name_similarity(a: Column, b: Column, same_canonical: Column | None = None) -> Column:
@@ -78,37 +150,16 @@ def name_spans(words: DataFrame, keys: list[str], table: DataFrame | None = None
     """Name spans of each page: runs of name tokens and particles of two to six words that end in a name token.
 
     ``words`` has the keys, ``seq``, ``text``, ``confidence``, ``bbox``. A page's words are collected; pages
-    are bounded, and the sweep is one fold over them.
+    are bounded.
     """
     word = F.col("text")
     marked = words.withColumn("name", F.coalesce(is_name_token(word), F.lit(False))).withColumn("part", F.col("name") | is_particle(word))
     pages = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "text", "confidence", "bbox", "name", "part"))).alias("w"))
 
-    def swept(w: Column) -> Column:
-        def reach(i: Column) -> Column:
-            """Words of the run that begins at i, up to six."""
-            n = F.lit(0)
-            for k in range(LONGEST, 0, -1):
-                whole = F.get(w, i)["part"]
-                for j in range(1, k):
-                    whole = whole & F.coalesce(F.get(w, i + j)["part"], F.lit(False))
-                n = F.when(n > 0, n).when(F.coalesce(whole, F.lit(False)), k).otherwise(0)
-            return n
-
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - 1), reach)
-        kind = "array<struct<i:int,n:int>>"
-
-        def fold(r: Column) -> Column:
-            def step(s: Column, i: Column) -> Column:
-                n = F.get(r, i)
-                take = (i >= s["free"]) & (n > 1) & F.get(w, i + n - 1)["name"]
-                return F.struct(F.when(take, i + n).otherwise(s["free"]).alias("free"), F.when(take, F.concat(s["out"], F.array(F.struct(i.alias("i"), n.alias("n"))))).otherwise(s["out"]).alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
-
-        return bind(runs, fold)
-
-    found = pages.select(*keys, "w", F.posexplode(swept(F.col("w"))).alias("seq", "s")).withColumn("ws", F.slice("w", F.col("s.i") + 1, F.col("s.n")))
+    # a letter for each word: name, particle or neither; a run has six words, or two to five up to its end
+    marks = F.array_join(F.transform("w", lambda x: F.when(x["name"], "n").when(x["part"], "p").otherwise(".")), "")
+    runs = F.transform(rx.spans(marks, rf"[np]{{{LONGEST - 1}}}n|[np]{{1,{LONGEST - 2}}}n(?![np])"), lambda s: F.struct(s["start"].alias("i"), (s["end"] - s["start"]).alias("n")))
+    found = pages.select(*keys, "w", F.posexplode(runs).alias("seq", "s")).withColumn("ws", F.slice("w", F.col("s.i") + 1, F.col("s.n")))
     mean = F.aggregate("ws", F.lit(0.0), lambda a, x: a + x["confidence"]) / F.size("ws")
     first, last = F.get("ws", F.lit(0))["bbox"], F.get("ws", F.size("ws") - 1)["bbox"]
     zero = lambda c: F.coalesce(c, F.lit(0.0))

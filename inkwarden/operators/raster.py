@@ -6,14 +6,16 @@ kernels in Arrow batches, an image at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# Least side and most enlargement, tile and clip of the equalisation, angles tried.
 SIDE, MOST, TILE, CLIP = 1200, 4, 32, 3.0
 ANGLES = np.arange(-10, 10.5, 0.5)
+# End of fixed values.
 
 
 def _round(x: np.ndarray) -> np.ndarray:
@@ -159,6 +161,24 @@ def enhance_images(images: DataFrame, keys: list[str]) -> DataFrame:
     return images.select(*keys, "gray", "w", "h").mapInPandas(run, schema)
 
 
+def kernel_images(images: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Each image (``gray`` bytes, ``w``, ``h``) after one kernel; a failing image keeps its pixels and has a message."""
+    schema = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys) + ", gray binary, w int, h int, error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                try:
+                    g, error = kernel(np.frombuffer(row["gray"], np.uint8).reshape(row["h"], row["w"])), None
+                    out.append([*(row[k] for k in keys), g.tobytes(), g.shape[1], g.shape[0], error])
+                except Exception as failure:  # noqa: BLE001 - one bad image is a row, not a failed job
+                    out.append([*(row[k] for k in keys), row["gray"], row["w"], row["h"], str(failure)])
+            yield pd.DataFrame(out, columns=[*keys, "gray", "w", "h", "error"])
+
+    return images.select(*keys, "gray", "w", "h").mapInPandas(run, schema)
+
+
 def black_out(g: np.ndarray, bars: list[tuple[int, int, int, int]]) -> np.ndarray:
     """The image with bars (x, y, w, h) painted black."""
     out = g.copy()

@@ -1,6 +1,7 @@
 """Synthetic case files over the orders table: one SQL text that Spark and DuckDB run alike.
 
-An order is a page, its customer the document. Word boxes of recognition passes come from the
+An order is a page, its customer the document; every page has one frame of sentences and one of seven odd ones,
+with near misses of the rules. Word boxes of recognition passes come from the
 conversations table, a turn being a page.
 """
 
@@ -26,6 +27,14 @@ SELECT doc_id, page_num,
   || ' by route via Tripoli-Malta. Passport No: AB' || ck || '. Contact user' || ck || '@mail' || CAST(b AS STRING)
   || '.example.com or +353 1 555 ' || lpad(CAST(ok % 10000 AS STRING), 4, '0')
   || '. Lives at ' || CAST(b AS STRING) || ' Harbour View Road, placed in Reception Centre Lesvos.'
+  || CASE CAST(ok % 7 AS INT)
+     WHEN 0 THEN ' Case No: KX' || lpad(CAST(ok % 1000 AS STRING), 4, '0') || ' and File IRL/2019/44; ref. Passport no X12 is short.'
+     WHEN 1 THEN ' Not dates: 31/02/2001x, 99/99/9999; born in Lyon on 12 mars 1999, née à Lille Sud.'
+     WHEN 2 THEN ' mail@host, @x.org, +12 3, case no 5, ID: ABC1, 12 Long Lane.'
+     WHEN 3 THEN ' Supreme Court, Legal Representative Review of Al-Hassan O' || chr(39) || 'Neill; JOHN SMITH, Article Nine. March John Doe (El-Sayed) met van Dyck and Fatima bint al-Ali.'
+     WHEN 4 THEN ''
+     WHEN 5 THEN ' aged 12, 3 children; 17 years old Malian from Mali via SYRIA, Syrians, Sri Lanka, Sierra Leonean.'
+     ELSE ' IPAT reference: 77/b-2 and MTL-2024-12345, Refcom/1234; passport AB12 3456 of Sudan South.' END
   || CASE WHEN page_num = 1 THEN ' ' || rpad('P<SYRALHASSAN<<' || upper(split_part('Mohamed,Muhammad,Mohammed,Fatoumata,Yousef,Ahmed,Olexandr,Tesfay', ',', a)), 44, '<')
        || ' ' || rpad('AB' || ck || '0SYR' || substring(y, 3, 2) || mo || d || '0M3001019', 44, '<') ELSE '' END AS text
 FROM (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions import strings, values
 from ..operators import documents, entities, fields, geometry, names, ocr, pseudonyms, raster, summary
 from ..session import table
 from ..sources import files, sinks
-from . import corpus, sqltext
+from . import corpus, folds, pixelsql, sqltext
 
 PAGE = ["doc_id", "page_num"]
 #: Last year that a date may have; pinned so that results don't change with time.
@@ -53,10 +54,11 @@ def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("page_id", "message", F.when(~F.col("error"), files.header_offset(F.col("content"))).alias("header_at"))
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _images(spark: SparkSession, sf_dir: str, side: int = pixelsql.SIDE) -> DataFrame:
     """Small gray images made of the nations' names."""
-    gray = F.expr("cast(substring(repeat(n_name, 1600), 1, 1600) as binary)")
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.col("n_nationkey").alias("page_num"), gray.alias("gray"), F.lit(40).alias("w"), F.lit(40).alias("h"))
+    n = side * side
+    gray = F.expr(f"cast(substring(repeat(n_name, {n}), 1, {n}) as binary)")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.col("n_nationkey").alias("page_num"), gray.alias("gray"), F.lit(side).alias("w"), F.lit(side).alias("h"))
 
 
 def _bars() -> F.Column:
@@ -70,10 +72,42 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count("page_num").alias("n_pages"))
 
 
-@query("a07_pdf", "SELECT n_name AS path, n_name || '_REDACTED.pdf' AS filename, '%PDF-1.5' AS header, false AS error FROM nation")
+_PAINTED = "SELECT path, y, x, CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 4 AND 13 THEN 0 ELSE v END AS v FROM images"
+
+
+@query("a07_pdf", f"WITH {pixelsql.IMAGES}, out AS ({_PAINTED}) SELECT path, path || '_REDACTED.pdf' AS filename, '%PDF-1.5' AS header, digest, w, h FROM ({pixelsql.digests('out', pixelsql.SIDE)}) d")
 def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted PDFs, read again to the last pixel."""
     made = sinks.redacted_pdfs(_images(spark, sf_dir).withColumn("bars", _bars()))
-    return made.select("path", "filename", files.latin1(F.col("pdf"), 8).alias("header"), "error")
+    back = files.pages(files.validated(made.select(F.col("filename").alias("path"), F.col("pdf").alias("content"))), files.open_image_pdf)
+    back = back.select(F.col("path").alias("filename"), F.sha2("gray", 256).alias("digest"), "w", "h")
+    return made.select("path", "filename", files.latin1(F.col("pdf"), 8).alias("header")).join(back, "filename")
+
+
+_FLOW_TEXT = "CASE n_nationkey % 4 WHEN 0 THEN 'mail ' || lower(n_name) || '@x.org' WHEN 1 THEN 'Case No: KX' || (1000 + n_nationkey) WHEN 2 THEN 'the ' || n_name ELSE 'plain words' END"
+
+
+def _flow_page(body: bytes) -> list:
+    """A page whose text item lies on the image's first pixels; the file holds the text and then the pixels."""
+    text, _, gray = body[len(b"%PDF") :].partition(b"\0")
+    return [(1, [(text.decode(), 1.0, 6.0, 4.0, 2.0), ("nothing", 1.0, 12.0, 4.0, 2.0)], gray, pixelsql.SIDE, pixelsql.SIDE)]
+
+
+@query(
+    "a10_black_bars",
+    f"""WITH {pixelsql.IMAGES}, texts AS (SELECT n_name AS path, {_FLOW_TEXT} AS t, n_nationkey FROM nation),
+hit AS (SELECT path, CASE WHEN n_nationkey % 4 IN (0, 1) OR t ILIKE '%the%' THEN 1 ELSE 0 END AS n FROM texts),
+out AS (SELECT path, y, x, CASE WHEN n = 1 AND y BETWEEN 0 AND 24 AND x BETWEEN 0 AND 31 THEN 0 ELSE v END AS v FROM images JOIN hit USING (path))
+SELECT d.path, n::BIGINT AS n_bars, digest, false AS error FROM ({pixelsql.digests('out', pixelsql.SIDE)}) d JOIN hit USING (path)""",
+)
+def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow: files, pages, bars of the items that hold an entity or a term, painted pages, PDFs; read again."""
+    text = F.expr(_FLOW_TEXT.replace("'mail ' || lower(n_name) || '@x.org'", "concat('mail ', lower(n_name), '@x.org')").replace("'Case No: KX' || (1000 + n_nationkey)", "concat('Case No: KX', 1000 + n_nationkey)").replace("'the ' || n_name", "concat('the ', n_name)"))
+    content = F.concat(F.lit(b"%PDF"), F.encode(text, "UTF-8"), F.lit(b"\0"), F.col("gray"))
+    listed = _images(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("path") == F.col("n_name")).select("path", content.alias("content"))
+    made = sinks.black_bars(files.pages(files.validated(listed), _flow_page), geometry.Config(active=("EMAIL", "CASE_ID"), terms=("the",)))
+    back = files.pages(files.validated(made.select("path", F.col("pdf").alias("content"))), files.open_image_pdf).select("path", F.sha2("gray", 256).alias("digest"))
+    return made.select("path", "n_bars", "error").join(back, "path")
 
 
 @query("a08_archive", "SELECT 'redacted-2024-01-01.zip' AS archive, count(*) AS n_files FROM nation")
@@ -135,14 +169,14 @@ def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.spans_of(corpus.cases(spark, sf_dir), PAGE, "text", entities.family_spans(F.col("text"))).drop("end")
 
 
-@query("b14_person_spans")
+@query("b14_person_spans", folds.persons())
 def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.persons import person_names
 
     return entities.spans_of(corpus.cases(spark, sf_dir), PAGE, "text", person_names(F.col("text")))
 
 
-@query("b15_entities")
+@query("b15_entities", folds.all_entities())
 def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.exploded(entities.detect(corpus.cases(spark, sf_dir)), PAGE)
 
@@ -193,11 +227,14 @@ def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variants(spark)
 
 
-@query("c03_name_scores")
+@query(
+    "c03_name_scores",
+    folds.name_scores(f"SELECT a, lower(n_name) AS b FROM (SELECT DISTINCT lower(word) AS a FROM (SELECT * FROM (WITH cases AS ({sqltext.CASES_SQL}) SELECT word FROM {_CASE_WORDS} w) x) y WHERE regexp_matches(word, '^[A-Z][a-z]+$')) z, nation"),
+)
 def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaro, Jaro-Winkler and name similarity of nations and regions."""
-    a, b = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("a"), "n_regionkey"), table(spark, sf_dir, "region").select(F.lower("r_name").alias("b"), "r_regionkey")
-    pairs = a.join(b, F.col("n_regionkey") == F.col("r_regionkey")).select("a", "b")
+    """Jaro, Jaro-Winkler and name similarity of the case files' capitalised words and the nations' names."""
+    a = _case_words(spark, sf_dir).where(F.col("word").rlike("^[A-Z][a-z]+$")).select(F.lower("word").alias("a")).distinct()
+    pairs = a.join(F.broadcast(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("b"))))  # 25 rows, a stated set
     score = lambda c: F.round(c, 6)
     return pairs.select("a", "b", score(strings.jaro(F.col("a"), F.col("b"))).alias("jaro"), score(strings.jaro_winkler(F.col("a"), F.col("b"))).alias("jaro_winkler"), score(names.name_similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
@@ -214,7 +251,7 @@ def c05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.where("method = 'direct'").select("word", "canonical")
 
 
-@query("c06_canonical_names")
+@query("c06_canonical_names", folds.canonical_names(f"SELECT word FROM {_CASE_WORDS} w", _VARIANTS))
 def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _case_words(spark, sf_dir).where(names.is_name_token(F.col("word")))
     return names.canonical_names(words, "word", names.variants(spark)).withColumn("score", F.round("score", 6))
@@ -240,12 +277,15 @@ def _name_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_spans(words, PAGE, names.variants(spark))
 
 
-@query("c08_name_spans")
+_WORDS_OF_CASES = f"SELECT * FROM {_CASE_WORDS} w"
+
+
+@query("c08_name_spans", folds.name_spans(_WORDS_OF_CASES, _VARIANTS))
 def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_spans(spark, sf_dir).select(*PAGE, "seq", "text", "confidence", "canonical", "method", F.round("score", 6).alias("score"))
 
 
-@query("c09_spelling_flags")
+@query("c09_spelling_flags", folds.spelling_flags(_WORDS_OF_CASES, _VARIANTS, "doc_id % 7"))
 def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are put together so that several spellings of a name meet in one."""
     return names.cross_reference(_name_spans(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 7), "doc_id", "page_num")
@@ -338,18 +378,25 @@ def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e02_conflicting_dates",
-    sqltext.from_cases(f"SELECT doc_id, count(*) AS n_dates, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, normalised, count(*) AS n FROM ({sqltext.dates(MAX_YEAR)}) d GROUP BY ALL) e GROUP BY doc_id HAVING count(*) > 1"),
+    folds.flags("SELECT * FROM (SELECT 1::BIGINT AS doc_id, 1::INT AS page_num, 0::INT AS seq, '' AS word) x", _VARIANTS, sqltext.dates(MAX_YEAR), "SELECT doc_id, type, severity, message, (SELECT CAST(sum(n) AS BIGINT) FROM births b WHERE b.doc_id = f.doc_id) AS occurrences FROM flags f"),
 )
 def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents.conflicting_dates(_fields(spark, sf_dir), "doc_id", "page_num")
-    listed = F.split(F.substring_index("message", ": ", -1), ", ")
-    return found.select("doc_id", F.size(listed).cast("long").alias("n_dates"), "occurrences")
+    return documents.conflicting_dates(_fields(spark, sf_dir), "doc_id", "page_num")
 
 
-@query("e03_invalid_passports", "SELECT CAST(1 AS BIGINT) AS doc_id, '' AS message FROM region WHERE false")
+_ODD_NUMBERS = "concat(left('ab cde', cast(c_custkey % 6 as int)), cast(c_custkey * 1237 as string))"
+
+
+@query(
+    "e03_invalid_passports",
+    """SELECT doc_id, 'INVALID_PASSPORT_NO' AS type, 'warn' AS severity, 'Possible OCR error in passport number "' || no || '" (page ' || page_num || '): Unexpected passport number format' AS message FROM (
+  SELECT c_custkey AS doc_id, c_custkey % 9 AS page_num, left('ab cde', CAST(c_custkey % 6 AS INT)) || CAST(c_custkey * 1237 AS VARCHAR) AS no FROM customer) n
+  WHERE NOT regexp_matches(upper(replace(no, ' ', '')), '^[A-Z]{1,2}\\d{6,9}$') AND NOT regexp_matches(upper(replace(no, ' ', '')), '^[A-Z0-9]{8,9}$')""",
+)
 def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """None: whatever the extraction accepts is valid."""
-    return documents.invalid_passports(_fields(spark, sf_dir), "doc_id", "page_num").select("doc_id", "message")
+    """Numbers as other readers may give them; whatever the extraction itself accepts is valid."""
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 9).alias("page_num"), F.lit("passportNumbers").alias("field"), F.expr(_ODD_NUMBERS).alias("value"))
+    return documents.invalid_passports(found, "doc_id", "page_num").select("doc_id", "type", "severity", "message")
 
 
 _SUGGEST = " ".join(f"WHEN '{k}' THEN {sqltext.quoted(v)}" for k, v in values.SUGGESTIONS.items())
@@ -369,9 +416,9 @@ def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- F: pseudonyms
 
 
-@query("f01_letters", f"SELECT o_custkey AS n, {sqltext.alpha('o_custkey')} AS letters FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey > 0) k")
+@query("f01_letters", f"SELECT n, {sqltext.alpha("n")} AS letters FROM (SELECT DISTINCT o_custkey * 3797 AS n FROM orders WHERE o_custkey > 0) k")
 def f01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_custkey > 0").select(F.col("o_custkey").alias("n")).distinct().withColumn("letters", strings.to_alpha(F.col("n")))
+    return table(spark, sf_dir, "orders").where("o_custkey > 0").select((F.col("o_custkey") * 3797).alias("n")).distinct().withColumn("letters", strings.to_alpha(F.col("n")))
 
 
 _SIMPLE = ("EMAIL", "PHONE", "ADDRESS")
@@ -382,10 +429,17 @@ _PLACEHOLDERS = (
 )
 
 
-@query("f02_placeholders", sqltext.from_cases(_PLACEHOLDERS))
+@query("f02_placeholders", folds.placeholders())
 def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = entities.exploded(entities.detect(corpus.cases(spark, sf_dir), active=_SIMPLE), PAGE)
-    return pseudonyms.placeholders(found, ["doc_id"], ["page_num"]).select("doc_id", "category", "key", "replacement")
+    found = entities.exploded(entities.detect(corpus.cases(spark, sf_dir)), PAGE)
+    return pseudonyms.placeholders(found, ["doc_id"], ["page_num"])
+
+
+@query("f06_prefix_and_session", folds.sessions("doc_id % 3", "Client"))
+def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another prefix, and sessions that hold many documents."""
+    found = entities.exploded(entities.detect(corpus.cases(spark, sf_dir)), PAGE).withColumn("session", F.col("doc_id") % 3)
+    return pseudonyms.placeholders(found, ["session"], ["doc_id", "page_num"], prefix=" Client ").select("session", "category", "key", "replacement")
 
 
 @query("f03_generalised_dates", sqltext.from_cases(
@@ -400,7 +454,7 @@ def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct().withColumn("general", strings.generalise_date(F.col("raw")))
 
 
-@query("f04_anonymized")
+@query("f04_anonymized", folds.anonymized())
 def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.anonymize(corpus.cases(spark, sf_dir), ["doc_id"], ["page_num"]).select(*PAGE, "anonymized", "n_replaced")
 
@@ -428,10 +482,22 @@ def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(geometry.parse_terms(raw), "|").alias("terms"))
 
 
-@query("g03_term_hits", sqltext.words("SELECT doc_id, page_num, pass_id, count(*) AS n FROM words WHERE regexp_matches(text, '(?i)the|of|an\\+d|edri') GROUP BY ALL"))
+_ITEM = "CASE (seq + page_num) % 5 WHEN 0 THEN 'a' || doc_id || '@mail.org' WHEN 1 THEN 'sister' WHEN 2 THEN 'Ref: KX' || (1000 + seq) ELSE text END"
+_ITEM_HIT = " OR ".join(f"regexp_matches(item, {sqltext.inline(p, i)})" for c, p, i in entities.PATTERNS if c in ("EMAIL", "CASE_ID", "REFCOM"))
+
+
+@query(
+    "g03_item_hits",
+    sqltext.words(
+        f"SELECT doc_id, page_num, pass_id, count(*) AS n FROM (SELECT *, {_ITEM} AS item FROM words) w WHERE regexp_matches(item, '(?i)the|of|an\\+d|edri') OR {_ITEM_HIT} "
+        f"OR regexp_matches(item, '(?i)\\b(?:{'|'.join(values.FAMILY_TERMS.split())})\\b') GROUP BY ALL"
+    ),
+)
 def g03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = geometry.Config(active=(), terms=_TERMS)
-    hits = corpus.words(spark, sf_dir).where(geometry.needs_redaction(F.col("text"), config))
+    """Text items that hold an entity or a term."""
+    config = geometry.Config(active=("EMAIL", "CASE_ID", "FAMILY_TERM"), terms=_TERMS)
+    items = corpus.words(spark, sf_dir).withColumn("item", F.expr(_ITEM.replace("'a' || doc_id || '@mail.org'", "concat('a', doc_id, '@mail.org')").replace("'Ref: KX' || (1000 + seq)", "concat('Ref: KX', 1000 + seq)")))
+    hits = items.where(geometry.needs_redaction(F.col("item"), config))
     return hits.groupBy(*PAGE, "pass_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -459,6 +525,14 @@ def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.manual_bars(_drags(spark, sf_dir), ["doc_id"]).select("doc_id", "seq", "bar.*")
 
 
+@query("g08_finalised", f"SELECT doc_id, count(*) AS n_bars, count(*) FILTER (source = 'manual') AS n_manual FROM (SELECT doc_id, 'manual' AS source FROM ({_MANUAL}) m UNION ALL SELECT l_orderkey, 'auto' FROM lineitem WHERE l_quantity > 25) u GROUP BY doc_id")
+def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automatic and manual bars of the final pages together."""
+    box = geometry.bar(F.col("l_quantity"), F.col("l_quantity"), F.lit(10.0), F.lit(10.0))
+    auto = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.lit("auto").alias("source"), box.alias("bar"))
+    return geometry.bar_totals(geometry.finalise(auto, geometry.manual_bars(_drags(spark, sf_dir), ["doc_id"])), ["doc_id"])
+
+
 @query("g07_undo", f"SELECT doc_id, count(*) AS n_bars, count(*) AS n_manual FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS back FROM ({_MANUAL}) m) b WHERE back > doc_id % 3 GROUP BY doc_id")
 def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
     drags = _drags(spark, sf_dir)
@@ -469,10 +543,21 @@ def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- H: recognition
 
 
-@query("h01_scripts", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[A-Za-z]') THEN 'latin' ELSE 'latin' END AS script, 'eng+fra+som+tur' AS languages FROM documents")
+_SAMPLES = ("Привет, мир", "مرحبا بالعالم", "ሰላም ለዓለም", "হ্যালো বিশ্ব", "hello", "123 !?")
+_MIXED = "concat(substring(coalesce(text, ''), 1, cast(doc_id % 23 as int)), ' ', element_at(array({0}), cast(doc_id % 6 as int) + 1))".format(", ".join(f"'{x}'" for x in _SAMPLES))
+_SCRIPT_COUNTS = ", ".join(f"{{'n': length(t) - length(regexp_replace(t, '[{r}]', '', 'g')), 'o': -{i}, 's': '{name}'}}" for i, (name, r) in enumerate(values.SCRIPTS.items()))
+
+
+@query(
+    "h01_scripts",
+    f"SELECT doc_id, script, CASE script {' '.join(f'WHEN {sqltext.quoted(k)} THEN {sqltext.quoted(v)}' for k, v in values.SCRIPT_LANGUAGES.items())} ELSE 'eng' END AS languages FROM ("
+    f"SELECT doc_id, CASE WHEN b.n > 0 THEN b.s ELSE 'latin' END AS script FROM (SELECT doc_id, list_max([{_SCRIPT_COUNTS}]) AS b FROM ("
+    f"SELECT doc_id, left(coalesce(text, ''), CAST(doc_id % 23 AS INT)) || ' ' || [{', '.join(map(sqltext.quoted, _SAMPLES))}][doc_id % 6 + 1] AS t FROM documents) t) c) d",
+)
 def h01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    script = strings.script_of(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", script.alias("script")).withColumn("languages", strings.languages_of(F.col("script")))
+    """Beginnings of documents with words of several scripts behind them."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_MIXED).alias("t"))
+    return rows.select("doc_id", strings.script_of(F.col("t")).alias("script")).withColumn("languages", strings.languages_of(F.col("script")))
 
 
 @query("h03_languages", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}', {str(c).lower()})" for k, (a, b, c) in values.LANGUAGES.items()) + ") l(id, label, script, rtl)")
@@ -519,12 +604,56 @@ def h09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.page_text(_merged(spark, sf_dir), PAGE).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("h10_page_confidence", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 95.0::DOUBLE WHEN turn % 3 = 1 THEN 85.0::DOUBLE ELSE 10.0::DOUBLE * (conv_id % 9) END AS confidence FROM conversations")
+def h10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of pages with a text layer, of pages whose recognition failed, and of recognised ones."""
+    rows = table(spark, sf_dir, "conversations").withColumn("found", (10 * (F.col("conv_id") % 9)).cast("double"))
+    return rows.select("conv_id", "turn", ocr.page_confidence(F.col("turn") % 3 == 0, F.col("turn") % 3 == 1, F.col("found")).alias("confidence"))
+
+
 # ---- I: rasters
 
 
-@query("i10_enhanced", "SELECT n_name AS path, v AS variant, CASE WHEN v = 'original' THEN 40 ELSE 160 END AS w, CASE WHEN v = 'original' THEN 40 ELSE 160 END AS h, CAST(NULL AS VARCHAR) AS error FROM nation, (SELECT unnest(['original', 'enhanced', 'high_contrast', 'sharpened']) AS v) x")
+_BIG = 4 * pixelsql.SIDE
+
+
+def _kernel(number: str, noun: str, sql: str, kernel: Callable) -> None:
+    @query(f"{number}_{noun}", sql)
+    def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+        done = raster.kernel_images(_images(spark, sf_dir), ["path"], kernel)
+        return done.select("path", "w", "h", F.sha2("gray", 256).alias("digest"))
+
+
+def _colours(g: np.ndarray) -> np.ndarray:
+    return raster.to_gray(np.dstack([g, 255 - g, g.astype(int) * 7 % 256]))
+
+
+_kernel("i01", "upscaled", pixelsql.kernel(pixelsql.upscaled("images", "out"), _BIG), raster.upscale)
+_kernel("i02", "gray", pixelsql.kernel(pixelsql.gray("images", "out")), _colours)
+_kernel("i03", "equalised", pixelsql.kernel(pixelsql.equalised("images", "out", pixelsql.SIDE)), raster.equalise)
+_kernel("i04", "blurred", pixelsql.kernel(pixelsql.blurred("images", "out", pixelsql.SIDE)), raster.blur)
+_kernel("i05", "unsharp", pixelsql.kernel(pixelsql.unsharp("images", "out", pixelsql.SIDE, 1.5)), raster.unsharp)
+_kernel("i07", "binarised", pixelsql.kernel(pixelsql.binarised("images", "out")), raster.binarise)
+_kernel("i08", "deskewed", pixelsql.kernel(pixelsql.deskewed("images", "out", pixelsql.SIDE)), lambda g: raster.deskew(g)[0])
+_kernel("i09", "stretched", pixelsql.kernel(pixelsql.stretched("images", "out")), raster.stretch)
+
+
+@query("i06_thresholds", f"WITH {pixelsql.IMAGES}, {pixelsql.thresholds('images', 'out')} SELECT path, CAST(t AS BIGINT) AS threshold FROM out")
+def i06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = raster.kernel_images(_images(spark, sf_dir), ["path"], lambda g: np.array([[raster.otsu(g)]], np.uint8))
+    return done.select("path", F.conv(F.hex("gray"), 16, 10).cast("long").alias("threshold"))
+
+
+@query("i10_enhanced", pixelsql.enhanced(10))
 def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.enhance_images(_images(spark, sf_dir), ["path"]).select("path", "variant", "w", "h", "error")
+    return raster.enhance_images(_images(spark, sf_dir, 10), ["path"]).select("path", "variant", "w", "h", F.sha2("gray", 256).alias("digest"), "error")
+
+
+@query("i11_plumbing", f"WITH {pixelsql.IMAGES}, out AS (SELECT path, y, x, CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 4 AND 13 THEN 0 ELSE v END AS v FROM images) {pixelsql.digests('out', pixelsql.SIDE)}")
+def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images taken from bytes, copied, painted on and put back."""
+    done = raster.kernel_images(_images(spark, sf_dir), ["path"], lambda g: raster.black_out(g, [(4, 4, 10, 6)]))
+    return done.select("path", "w", "h", F.sha2("gray", 256).alias("digest"))
 
 
 # ---- J: summaries
@@ -542,9 +671,22 @@ def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.document_confidence(_pages(spark, sf_dir), "doc_id")
 
 
-@query("j02_flag_counts", sqltext.from_cases(f"SELECT doc_id, CAST(1 AS BIGINT) AS n_errors, CAST(0 AS BIGINT) AS n_warnings FROM (SELECT doc_id, normalised FROM ({sqltext.dates(MAX_YEAR)}) d GROUP BY ALL) e GROUP BY doc_id HAVING count(*) > 1"))
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crossed = names.cross_reference(_name_spans(spark, sf_dir), "doc_id", "page_num")
+    return documents.flags(_fields(spark, sf_dir), crossed, "doc_id", "page_num")
+
+
+@query("j02_flag_counts", folds.flags(_WORDS_OF_CASES, _VARIANTS, sqltext.dates(MAX_YEAR), "SELECT doc_id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warn') AS n_warnings FROM flags GROUP BY doc_id"))
 def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.flag_counts(documents.flags(_fields(spark, sf_dir), None, "doc_id", "page_num"), "doc_id")
+    return summary.flag_counts(_flags(spark, sf_dir), "doc_id")
+
+
+@query(
+    "j11_messages",
+    folds.flags(_WORDS_OF_CASES, _VARIANTS, sqltext.dates(MAX_YEAR), f"SELECT doc_id, type, severity, message, CASE type {_SUGGEST} END AS suggestion, CASE severity WHEN 'error' THEN 'consistency' ELSE 'names' END AS origin FROM flags"),
+)
+def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir).select("doc_id", "type", "severity", "message", "suggestion", "origin")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,7 +734,9 @@ def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(strings.escape_html(F.coalesce("html", F.lit(""))), 256).alias("digest"))
 
 
-@query("j10_sidebar", sqltext.from_cases(f"SELECT doc_id, 'field' AS kind, field AS label, value FROM ({_FIELDS_SQL}) f WHERE page_num = 1"))
+@query(
+    "j10_sidebar",
+    folds.flags(_WORDS_OF_CASES, _VARIANTS, sqltext.dates(MAX_YEAR), f"SELECT doc_id, 'field' AS kind, field AS label, value FROM ({_FIELDS_SQL}) f WHERE page_num = 1 UNION ALL SELECT doc_id, 'flag', type, message FROM flags"),
+)
 def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "doc_id bigint, type string, message string")
-    return summary.sidebar(_fields(spark, sf_dir), none, "doc_id", "page_num", 1)
+    return summary.sidebar(_fields(spark, sf_dir), _flags(spark, sf_dir), "doc_id", "page_num", 1)

@@ -109,11 +109,11 @@ def phonetic(word: str) -> str:
 
 
 def alpha(n: str) -> str:
-    letter = lambda k: f"chr(CAST(65 + ({k}) % 26 AS INT))"
-    one = f"({n} - 1)"
-    two = f"({one} // 26 - 1)"
-    three = f"({two} // 26 - 1)"
-    return f"(CASE WHEN {three} >= 0 THEN {letter(three)} ELSE '' END || CASE WHEN {two} >= 0 THEN {letter(two)} ELSE '' END || {letter(one)})"
+    """Letters of a number, six at most: what the test tables need."""
+    places = [f"({n} - 1)"]
+    while len(places) < 6:
+        places.append(f"({places[-1]} // 26 - 1)")
+    return "(" + " || ".join(f"CASE WHEN {p} >= 0 THEN chr(CAST(65 + ({p}) % 26 AS INT)) ELSE '' END" for p in reversed(places)) + ")"
 
 
 def words(body: str) -> str:

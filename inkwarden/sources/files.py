@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -97,6 +99,18 @@ def pages(files: DataFrame, opener: Opener, name: str = "path") -> DataFrame:
     return files.select(name, "body", "message").mapInPandas(run, schema)
 
 
+_IMAGE = re.compile(rb"/Subtype /Image /Width (\d+) /Height (\d+) /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /FlateDecode /Length (\d+) >>\nstream\n")
+
+
+def open_image_pdf(body: bytes) -> list:
+    """Opens the PDFs that ``sinks.image_pdf`` writes: one gray image a page, no text."""
+    out = []
+    for number, m in enumerate(_IMAGE.finditer(body), 1):
+        w, h, n = map(int, m.groups())
+        out.append((number, [], zlib.decompress(body[m.end() : m.end() + n]), w, h))
+    return out
+
+
 def text_pages(rows: DataFrame, doc: str, text: str, page: str | None = None) -> DataFrame:
     """Any table of texts as pages: ``doc_id``, ``page_num``, ``text``."""
     number = F.col(page).cast("int") if page else F.lit(1)

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.geometry import SCALE
+from ..functions import rx
+from ..operators.geometry import SCALE, Config, bar, item_box, needs_redaction
 from ..operators.raster import black_out
 
 
@@ -73,6 +74,22 @@ def redacted_pdfs(pages: DataFrame, name: str = "path") -> DataFrame:
     return pages.select(name, "page_num", "gray", "w", "h", "bars").groupBy(name).applyInPandas(run, f"{name} string, filename string, pdf binary, error boolean, message string")
 
 
+def black_bars(pages: DataFrame, config: Config = Config(), name: str = "path") -> DataFrame:
+    """From opened pages (``files.pages``) to redacted PDFs: bars of the text items that hold an entity or a term are
+    painted on each page's image. Adds ``n_bars``; files that failed before stay rows with their message."""
+
+    def bar_of(i: Column) -> Column:
+        b = item_box(i["x"], i["baseline"], i["width"], i["height"], i["text"])
+        return rx.bind(b, lambda b: bar(b["x"], b["y"], b["w"], b["h"], config.padding))
+
+    items = F.coalesce("items", F.array().cast(pages.schema["items"].dataType))
+    hits = F.filter(items, lambda i: needs_redaction(F.coalesce(F.trim(i["text"]), F.lit("")), config))
+    barred = pages.where("not error").withColumn("bars", F.transform(hits, bar_of))
+    counts = barred.groupBy(name).agg(F.sum(F.size("bars")).alias("n_bars"))
+    failed = pages.where("error").select(name, F.lit(None).cast("string").alias("filename"), F.lit(None).cast("binary").alias("pdf"), "error", "message", F.lit(0).cast("long").alias("n_bars"))
+    return redacted_pdfs(barred, name).join(counts, name).unionByName(failed)
+
+
 def archives(outputs: DataFrame, date: str, shards: int = 64) -> DataFrame:
     """Deflated ZIP archives ``redacted-<date>[-shard].zip`` of all successful outputs, dealt to ``shards``."""
 

@@ -126,3 +126,40 @@ def test_name_spans_follow_the_model(spark):
         assert (r.canonical is None) == (r.score is None)
     for p, ws in enumerate(pages):
         assert got.get(p, []) == model_spans(ws)
+
+
+def test_marks_in_texts_leak_nothing(spark):
+    """Signs that the span machinery uses itself may stand in a text."""
+    text = "x\u0001\u0001\u0001 mail bob@site.com\u0001 and \u0002John \u0001Smith\u0001 in Syria"
+    df = spark.createDataFrame([(text,)], "text string")
+    row = entities.detect(df).withColumn("r", entities.redact(df)).first()
+    for e in row.entities:
+        assert text[e.start : e.end] == e.text
+    assert "bob@site.com" not in row.r and "Syria" not in row.r and row.r.startswith("x\u0001\u0001\u0001 mail [REDACTED]\u0001 and")
+    got = pseudonyms.anonymize(df.selectExpr("1 AS s", "1 AS p", "text"), ["s"], ["p"]).first()
+    assert "bob@site.com" not in got.anonymized and "email-001@example.invalid" in got.anonymized
+
+
+def test_boundaries_are_only_made_simpler(spark):
+    """Patterns with simplified boundaries find what those with full ones find, in odd texts."""
+    import random
+
+    from inkwarden.functions import rx
+    from inkwarden.operators import fields
+
+    rng = random.Random(11)
+    pieces = ["Refcom", "no:", "12345", "AB1234567", "Case", "File", "IRL/2019/441", "-", "é", "3rd", "March", "2020", "01/02/2020", "x", "_", "IPAT ref 7", "12 Long", "Lane", "Camp A", "route via Rome", "in", "Paris", "born in Lyon", "née à Nice", "wife", "b@x.org", "+353 1 555 1234", " "]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", ".", "é"]) for _ in range(12)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    patterns = [(p, i) for _, p, i in entities.PATTERNS] + [(fields.PASSPORT, False), (fields.CASE, True), (fields.BIRTHPLACE, True), (entities.LOCATION, False), (rf"\b(?:{rx.any_of(values.FAMILY_TERMS.split())})\b", True)]
+    full = lambda p, i: rx.java(p.replace(r"\b", "@@"), i).replace("@@", rx.B)
+    cols = [(F.regexp_extract_all("text", F.lit(rx.java(p, i)), F.lit(0)) == F.regexp_extract_all("text", F.lit(full(p, i)), F.lit(0))).alias(f"c{k}") for k, (p, i) in enumerate(patterns)]
+    assert all(all(r) for r in df.select(*cols).collect())
+    assert any(rx.java(p, i) != full(p, i) for p, i in patterns)
+
+
+def test_sweep_over_many_items(spark):
+    """Long arrays are folded in chunks, with the same outcome."""
+    text = " ".join(f"a{k}@x.org" for k in range(1500))
+    row = entities.detect(spark.createDataFrame([(text,)], "text string"), active=("EMAIL",)).first()
+    assert [e.text for e in row.entities] == text.split() and [e.start for e in row.entities][:3] == [0, 9, 18]

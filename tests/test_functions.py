@@ -129,3 +129,34 @@ def test_birthplace_and_mrz(spark):
     row = spark.createDataFrame([("née à Lyon. P<SYRAL<HASSAN<<MO<ALI<<<<<<<<<<<<<<<<<<<<<<<< AB12345670SYR9003120M3001019<<<<<<<<<<<<<<<<",)], "text string")
     got = fields.extract(row, 2025).first()
     assert got.placesOfBirth[0].value == "Lyon" and got.mrz.surname == "AL HASSAN" and got.mrz.given_names == "MO ALI" and got.mrz.dob == "1990-03-12"
+
+
+@pytest.mark.parametrize(("n", "want"), [(475254, "ZZZZ"), (475255, "AAAAA"), (12356631, "AAAAAA"), (0, ""), (18279, "AAAA")])
+def test_letters_of_large_numbers(spark, n, want):
+    assert one(spark, strings.to_alpha, n) == want
+
+
+def test_letters_compared_at_once_score_as_one_by_one(spark):
+    words = ["mohamed", "muhammad", "ab", "a", "", "aab", "xyz", "marhta", "dicksonx", "éa", "ahmadu", "abdurahman"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    want = {(r.a, r.b): r.w for r in df.select("a", "b", strings.jaro_winkler(F.col("a"), F.col("b")).alias("w")).collect()}
+    letters = names.Letters(words)
+    assert all(want[a, b] == w for a in words for b, w in zip(words, letters.jaro_winkler(a)))
+
+
+def test_large_name_tables_meet_words_block_by_block(spark, monkeypatch):
+    words = spark.createDataFrame([(w,) for w in ("Khaledd", "Zaynabb", "Mustafaah", "Qqqq", "Omar")], "w string")
+    table = names.variants(spark)
+    whole = sorted(names.canonical_names(words, "w", table).collect())
+    monkeypatch.setattr(names, "BLOCK", 100)
+    assert sorted(names.canonical_names(words, "w", table).collect()) == whole and len(whole) >= 3
+
+
+def test_ranks_of_split_groups(spark):
+    from inkwarden.operators import pseudonyms
+
+    rows = spark.createDataFrame([(k % 2, (k * 37) % 500) for k in range(500)], "g int, v int").repartition(5)
+    got = {}
+    for r in pseudonyms.ranked(rows, ["g"], ["v"]).collect():
+        got.setdefault(r.g, {})[r.v] = r.n
+    assert all([vs[v] for v in sorted(vs)] == list(range(1, 251)) for vs in got.values())

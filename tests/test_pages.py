@@ -102,3 +102,36 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
     assert {r.redacted for r in spark.table("plain").collect()} == {"[REDACTED] and [REDACTED]", "[REDACTED]", "nothing"}
     assert {(r.number_key, r.n) for r in spark.table("keys").where("grp = 'EMAIL'").collect()} == {("b@y.org", 1), ("a@x.com", 2)}
+
+
+def test_recognition_flow(spark):
+    """A stand-in engine: letters of an image are its words, longer where the languages or the size help."""
+
+    def engine(gray, w, h, languages):
+        if w > 40:  # an enlarged cutting
+            return [("clear", 90, 0, 0, 9, 9)]
+        word = bytes(gray[:6]).decode("latin1").strip()
+        if word == "broken":
+            raise ValueError("no image")
+        confidence = 40 if word == "doubt" else 70
+        return [("مرحبا بكم" if word == "arab" else word, confidence + 20 * (languages == "ara"), 2, 2, 30, 12)] + ([(languages, 99, 2, 20, 30, 28)] if "+" in languages else [])
+
+    rows = [(p, k, (t.ljust(6) + " " * 894).encode(), 30, 30) for p, t in enumerate(["plain", "doubt", "arab", "broken"]) for k in range(4)]
+    variants = spark.createDataFrame(rows, "page int, pass_id int, gray binary, w int, h int")
+    got = {}
+    for r in ocr.recognise_pages(variants, ["page"], engine).orderBy("page", "place").collect():
+        got.setdefault(r.page, []).append((r.text, r.confidence, r.verified))
+    assert set(got) == {0, 1, 2}
+    assert got[0] == [("plain", 70.0, False), ("eng+fra+som+tur", 99.0, False)]
+    assert got[1][0] == ("clear", 90.0, True)
+    assert got[2][0][:2] == ("مرحبا بكم", 90.0) and got[2][1][0] == "ara+eng+fra+urd+kur"
+
+
+def test_black_bar_flow(spark):
+    pages = [("a.pdf", 1, [("x@y.org", 1.0, 6.0, 4.0, 2.0), ("nothing", 1.0, 12.0, 4.0, 2.0)], b"\xff" * 1600, 40, 40, False, None), ("b.pdf", None, None, None, None, None, True, "bad")]
+    df = spark.createDataFrame(pages, "path string, page_num int, items array<struct<text:string,x:double,baseline:double,width:double,height:double>>, gray binary, w int, h int, error boolean, message string")
+    good, bad = sinks.black_bars(df, geometry.Config(active=("EMAIL",))).orderBy("path").collect()
+    assert (good.filename, good.n_bars, bad.error, bad.message) == ("a_REDACTED.pdf", 1, True, "bad")
+    ((number, items, gray, w, h),) = files.open_image_pdf(bytes(good.pdf))
+    image = np.frombuffer(gray, np.uint8).reshape(h, w)
+    assert (number, items) == (1, []) and (image[:15, :30] == 0).all() and (image[30:] == 255).all()

@@ -10,7 +10,11 @@ from inkwarden.plans import registry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Run in every test run; the driver compares all of them.
-QUICK = ["a01_queue", "a04_validation", "b01_email_spans", "b07_date_exact_spans", "b12_location_spans", "c04_phonetic", "c07_name_tokens", "d03_dates", "d04_valid_dates", "d10_mrz", "d12_passport_checks", "e01_document_types", "f01_letters", "f02_placeholders", "f03_generalised_dates", "f05_softened", "g04_item_bars", "g07_undo", "h06_overlaps", "h07_merge", "j03_session", "j08_file_sizes", "flagship_redaction"]
+QUICK = (
+    "a01_queue a04_validation a07_pdf b01_email_spans b04_case_id_spans b07_date_exact_spans b12_location_spans b14_person_spans c03_name_scores c04_phonetic c07_name_tokens c08_name_spans d03_dates d04_valid_dates d10_mrz "
+    "d12_passport_checks e01_document_types e03_invalid_passports f01_letters f03_generalised_dates f04_anonymized f05_softened g03_item_hits g04_item_bars g07_undo g08_finalised h01_scripts h06_overlaps h07_merge "
+    "h10_page_confidence i01_upscaled i02_gray i03_equalised i04_blurred i05_unsharp i06_thresholds i07_binarised i08_deskewed i09_stretched i11_plumbing j03_session j08_file_sizes flagship_redaction"
+).split()
 
 
 def rows(columns, found):
