@@ -7,7 +7,8 @@ of unlabelled documents (``POOL``) to the other as pseudo-labels. Labelled docum
 calibrate each view and fit how the calibrated views combine. Every document is then scored in one pass.
 
 Results: null texts count as empty; null metadata is a value of its own; documents repeated or without an
-id are scored like any others; with no labels of both kinds every score is 1 (nothing is rejected).
+id are scored like any others; with fewer than eight labelled documents, or none of one kind, every score is 1
+(nothing is rejected).
 """
 
 from __future__ import annotations
