@@ -93,6 +93,44 @@ def test_op1_texts_and_likeness(spark, small):
     assert [r.near_next for r in got if r.doc_id == 4][0] == 1.0
 
 
+def winnowed_by_hand(text):
+    """Chosen (hash, position) of a text: units, grams folded unit by unit, the rightmost smallest of each window."""
+    import re
+
+    import xxhash
+
+    units = [xxhash.xxh64_intdigest(u.encode(), 42) for u in re.findall(r"[^\x20\x09-\x0D]{1,4}", text)]
+    grams = []
+    for i in range(max(len(units) - 4, 1) if units else 0):
+        h = 42
+        for u in units[i : i + 5]:
+            h = xxhash.xxh64_intdigest(u.to_bytes(8, "little"), h)
+        grams.append((h >> 32, i))
+    chosen = []
+    for at in range(max(len(grams) - 5, 1) if grams else 0):
+        best = min(grams[at : at + 6], key=lambda g: (g[0], -g[1]))
+        if best not in chosen:
+            chosen.append(best)
+    return chosen
+
+
+def test_op1_fingerprints_by_hand(spark, small):
+    rows = in_order([(r[0], (r[1] or "")[:3000]) for r in TEXTS])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(winnowing.edited_likeness(docs, "doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    written = lambda c: "".join(f"{h:08x}" for h, _ in c)
+
+    def alike(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for k, ((_, t), r) in enumerate(zip(rows, got)):
+        following, m = rows[(k + 1) % len(rows)][1], len(t) // 2
+        own, edited, after = (winnowed_by_hand(x) for x in (t, t[: len(t) - m] + following[:m], following))
+        assert (r.fingerprint, r.edited_fingerprint, r.positions) == (written(own), written(edited), [i for _, i in own])
+        assert r.near_edited == pytest.approx(alike(own, edited)) and r.near_next == pytest.approx(alike(own, after))
+
+
 def test_op1_winnows_as_defined(spark):
     texts = [" ".join(f"w{(i * i * k) % 23}" for i in range(k)) for k in (1, 4, 5, 9, 10, 60)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
@@ -121,6 +159,18 @@ def test_op2_components(spark, small, sf):
     assert got == group
 
 
+def test_op2_fingerprints_by_hand():
+    import re
+
+    import xxhash
+
+    for text in ["", " \n", "one Two", "a b c d", "A b c D e", "x y x y x y x y", "É é Straße ẞ a\xa0b c d e", LONG[:5000]]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        parts = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
+        h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+        assert simhash.fingerprint(text, 4) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_op2_covers_every_pair_and_large_groups(spark):
     rng = np.random.default_rng(2)
     masks = simhash.covering_masks(list(range(64)), 4)
