@@ -28,7 +28,7 @@ from .memo import Memo
 
 _MASK = (1 << 64) - 1
 #: Words that a worker remembers (at most twice as many, with those being forgotten), and marks that stay one pre-token after letters.
-WORDS, MARKS = 450_000, frozenset(".,;:!?")
+WORDS, MARKS = 150_000, frozenset(".,;:!?")
 #: A space that no visible character follows, and the place before one that a visible character follows.
 LOOSE, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r"(?<!\s)(?= \S)")
 
