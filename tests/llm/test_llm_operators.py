@@ -480,6 +480,37 @@ def test_near_dedup_finds_every_pair(spark, monkeypatch):
         assert sorted(r.doc_id for r in near_dedup.deduplicate(df, "doc_id", "text").collect()) == want
 
 
+def test_near_dedup_makes_no_rows_by_the_square(spark, monkeypatch):
+    """400 copies of one text with so many edits that no two are linked, and a near copy of one of them."""
+    rng = np.random.default_rng(5)
+    texts = {k: [f"e{k} {i}" if i in places else f"w{i}" for i in range(300)] for k in range(400) for places in [set(rng.choice(300, 6, replace=False).tolist())]}
+    texts[400] = [*texts[7][:-1], "end"]
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    sets = {i: frozenset(near_dedup.shingles(t)) for i, t in texts.items()}
+    assert [(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] == [(7, 400)]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    plain, made = type(df).mapInArrow, []
+
+    def counted(self, run, schema):
+        rows = spark.sparkContext.accumulator(0)
+        if schema == "a long, b long":
+            made.append(rows)
+
+        def counting(batches):
+            for batch in run(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return plain(self, counting, schema)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    for block in (near_dedup.BLOCK, 100):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        made.clear()
+        assert sorted(r.doc_id for r in near_dedup.deduplicate(df, "doc_id", "text").collect()) == list(range(400))
+        assert len(made) > 2 and max(m.value for m in made) < 50 * len(texts)
+
+
 def test_near_dedup_tells_texts_apart_whose_hashes_clash(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "text_hash", lambda text, part: F.xxhash64(text, F.lit(part)) if part == 2 else F.xxhash64(text).bitwiseAND(F.lit(7)))
     texts = {i: " ".join(f"w{i} {j}" for j in range(30)) for i in range(60)}
