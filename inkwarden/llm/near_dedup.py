@@ -43,6 +43,8 @@ BLOCK, FEW = 1024, 8
 SAMPLE, TOGETHER, COMMON = 32_000, 2000, 100_000
 #: Rows of a table of two numbers that may be broadcast; larger ones are shuffled. Bits (as a power of two) of a bitmap.
 SMALL, MOST_BITS = 1_000_000, 26
+#: Edges whose components the driver finds (16 bytes each); more are solved on the executors.
+EDGES = 100_000
 #: Words whose hash a worker remembers.
 WORDS = 60_000
 _RNG = np.random.default_rng(2024)
@@ -272,9 +274,30 @@ def _dealt(rows: DataFrame, several: DataFrame, forest: Callable, likeness: floa
     return groups.where(F.size("members") > 1).select((F.col("one") != F.col("two")).alias("cross"), "members").mapInArrow(compared, "a long, b long").distinct()
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    """``simhash.components`` without its rounds of shuffles where edges are few."""
+    edges = cut(edges)
+    if edges.count() > EDGES:
+        return simhash.components(edges)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    found = edges.select("a", "b").toArrow()
+    for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist()):
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    nodes = [x for x in parent if find(x) != x]
+    tree = pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+    return edges.sparkSession.createDataFrame(tree)
+
+
 def _clusters(edges: DataFrame) -> DataFrame:
     """``tk``, ``key``: the texts that ``edges`` connect, and the smallest text of each cluster."""
-    tree = simhash.components(edges)
+    tree = _components(edges)
     return cut(tree.select(F.col("node").alias("tk"), F.col("root").alias("key")).unionByName(tree.select(F.col("root").alias("tk"), F.col("root").alias("key"))).distinct())
 
 
@@ -438,8 +461,8 @@ def deduplicate(docs: DataFrame, id_col: str, text_col: str, likeness: float = L
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rows = _named(keyed.select("__k1", "__k2", F.coalesce(F.col(text_col), F.lit("")).alias("text")), clashing).select("tk", "text")
     edges = _linked(rows, _likely(pairs, seen, likeness), likeness)
-    rest = _rest(rows, seen, simhash.components(edges), likeness, folder)
-    tree = simhash.components(edges.unionByName(rest))
+    rest = _rest(rows, seen, _components(edges), likeness, folder)
+    tree = _components(edges.unionByName(rest))
     rooted = nodes.select("tk", "top").join(tree.select(F.col("node").alias("tk"), "root"), "tk", "left").select("tk", "top", F.coalesce("root", "tk").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min(F.struct("top", "tk")).alias("best")).select("best.tk", F.col("best.top.id").alias("id"), (F.col("best.top.n") > 1).alias("again")))
     once = kept.where("not again").select(F.col("tk").alias("__tk"), F.col("id").alias("__kept"))
