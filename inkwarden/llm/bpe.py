@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ from .memo import Memo
 _MASK = (1 << 64) - 1
 #: Words that a worker remembers (at most twice as many, with those being forgotten), and marks that stay one pre-token after letters.
 WORDS, MARKS = 150_000, frozenset(".,;:!?")
+#: Bytes of the texts that are encoded together.
+PART = 8_000_000
 #: A space that no visible character follows, and the place before one that a visible character follows.
 LOOSE, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r"(?<!\s)(?= \S)")
 
@@ -153,7 +156,8 @@ class Codec:
         self.ranks, self.whole, self.find = ranks, whole, regex.compile(pattern).findall
         self.first = [ranks.get(bytes((i >> 8, i & 255))) for i in range(1 << 16)]
         self.words = Words(self)
-        self.tokens = Memo(lambda token: self._ids(token.encode()), WORDS // 10)
+        self.tokens = Memo(self._token, WORDS // 10)
+        self.arrow: pa.Array | None = None
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
@@ -163,6 +167,9 @@ class Codec:
         ids = [rank] if rank is not None else heap_merge(token, self.ranks, self.first)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _token(self, token: str) -> bytes:
+        return self.words[token[1:]] if token[0] == " " and token[1:].isalpha() else self._ids(token.encode())
+
     def _fresh(self, text: str) -> bytes:
         return b"".join([self.tokens[t] for t in self.find(text)])
 
@@ -179,17 +186,53 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-
-_codecs: dict[int, Codec] = {}
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """``encode`` of every text: each distinct piece is looked up once, the ids are put in place by Arrow."""
+        texts = pc.fill_null(texts, "")
+        loose = {i: t for i, t in enumerate(texts.to_pylist()) if LOOSE.search(t)}
+        if loose:  # these are one piece each
+            texts = pc.if_else(pa.array([i not in loose for i in range(len(texts))]), texts, "")
+        split = pc.split_pattern(texts, " ")
+        ends, pieces = split.offsets.to_numpy(), split.flatten()
+        later = np.ones(len(pieces), bool)
+        later[ends[:-1]] = False
+        coded = pieces.filter(pa.array(later)).dictionary_encode()
+        found = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        at = np.empty(len(pieces), np.int64)
+        at[later] = coded.indices.to_numpy()
+        at[~later] = len(found) + np.arange(len(texts))
+        found += [self.encode(loose[i]) if i in loose else self._fresh(t) for i, t in enumerate(pieces.filter(pa.array(~later)).to_pylist())]
+        return _rows(pa.array(found, pa.large_binary()).take(pa.array(at)), ends)
+
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """``decode`` of all that ``encode_all`` gave."""
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // 4
+        if self.arrow is None:
+            self.arrow = pa.array(self.pieces, pa.large_binary())
+        return _rows(self.arrow.take(pa.array(np.frombuffer(ids.buffers()[2] or b"", "<u4")[: ends[-1]])), ends)
+
+
+def _rows(joined: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Byte strings as one for each row, which has those from one of ``ends`` to the next; a fresh array."""
+    at = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1][ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at.astype(np.int32)), joined.buffers()[2] or pa.py_buffer(b"")])
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` by rows whose texts (column 1) have about ``PART`` bytes together, at least one row each."""
+    sizes, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sizes, PART + (sizes[at - 1] if at else 0), side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def _codec(shared, pattern: str) -> Codec:
-    """One codec for each worker process and broadcast."""
-    key = (id(shared), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(*shared.value, pattern)
-    return _codecs[key]
+    """One codec for each worker process and broadcast; it goes with the broadcast, so that later stages have its memory."""
+    held = vars(shared).setdefault("codecs", {})
+    if pattern not in held:
+        held[pattern] = Codec(*shared.value, pattern)
+    return held[pattern]
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str, decode: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -206,12 +249,10 @@ def encode(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
-                cols = [part.column(0), pa.array(ids, pa.binary())]
+            for part in _parts(batch):
+                cols = [part.column(0), codec.encode_all(part.column(1))]
                 if decode:
-                    cols.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
+                    cols.append(codec.decode_all(cols[1]))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = source.mapInArrow(run, f"kept {kept.schema.simpleString()}, ids binary" + ", decoded binary" * decode)

@@ -1,10 +1,13 @@
 """The contract queries on small tables with every awkward row, against brute force or the libraries."""
 
+import gc
 import hashlib
+import weakref
 from bisect import bisect
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -554,3 +557,44 @@ def test_linear():
     x = np.array([[0.0], [1], [2], [3]])
     w = linear.logistic(x, np.array([0.0, 0, 1, 1]))
     assert bisect(linear.sigmoid(x @ w[:-1] + w[-1]).tolist(), 0.5) == 2
+
+
+class _Shared:
+    """A broadcast as a worker holds it."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_texts_encoded_together_look_each_piece_up_once_and_leave_nothing_behind():
+    shared = _Shared(bpe._tables(P.path("byte_bpe_multi_50k.tiktoken")))
+    codec = bpe._codec(shared, P.PATTERN)
+    assert bpe._codec(shared, P.PATTERN) is codec
+    alone, asked, ids = bpe.Codec(*shared.value, P.PATTERN), [], codec._ids
+    texts = [None, "", " ", "a ", "  x  y", "zqxv qzvx.\nzqxv, qzvx!", "one zqxv\n zqxv qzvx", "日本語 é  ñ", *(t for _, t, _, _ in TEXTS)]
+    codec._ids = lambda token: asked.append(token) or ids(token)
+    codec.words.limit = 1  # nothing but the batch itself keeps words
+    coded = codec.encode_all(pa.array(["zqxv", *["qzvx zqxv zzqx"] * 50]))
+    assert coded.to_pylist() == [alone.encode("zqxv"), *[alone.encode("qzvx zqxv zzqx")] * 50]
+    assert asked.count(b" zqxv") == 1 and asked.count(b" zzqx") == 1
+    codec.words.limit, asked[:] = bpe.WORDS, []
+    codec.encode_all(pa.array(["n word\n word", "n wqzzv.\nwqzzv wqzzv\n wqzzv"]))
+    assert asked.count(b" wqzzv") == 1  # after a line break, too
+    for some in (texts, texts[3:], [], [None]):
+        coded = codec.encode_all(pa.array(some, pa.string()))
+        back = codec.decode_all(coded)
+        coded.validate(full=True), back.validate(full=True)
+        assert coded.to_pylist() == [alone.encode(t) for t in some]
+        assert back.to_pylist() == [(t or "").encode() for t in some]
+    gone = weakref.ref(codec)
+    del codec, shared, ids
+    gc.collect()
+    assert gone() is None  # a worker that goes on to other stages has the memory
+
+
+def test_parts_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 10)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["x" * 25, None, "", "1234", "123456", "1", "y" * 11])], names=["kept", "text"])
+    parts = [p.column(0).to_pylist() for p in bpe._parts(rows)]
+    assert parts == [[0], [1, 2, 3, 4], [5], [6]]
+    assert list(bpe._parts(rows.slice(0, 0))) == []
