@@ -14,6 +14,7 @@ import base64
 import heapq
 import re
 import struct
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ _MASK = (1 << 64) - 1
 #: Words that a worker remembers (at most twice as many, with those being forgotten), and marks that stay one pre-token after letters.
 WORDS, MARKS = 150_000, frozenset(".,;:!?")
 #: Bytes of the texts that are encoded together.
-PART = 8_000_000
+PART = 1_000_000
 #: A space that no visible character follows, and the place before one that a visible character follows.
 LOOSE, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r"(?<!\s)(?= \S)")
 
@@ -155,8 +156,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], whole: PerfectHash, pattern: str):
         self.ranks, self.whole, self.find = ranks, whole, regex.compile(pattern).findall
         self.first = [ranks.get(bytes((i >> 8, i & 255))) for i in range(1 << 16)]
-        self.words = Words(self)
-        self.tokens = Memo(self._token, WORDS // 10)
+        own = weakref.proxy(self)  # no cycle: a codec that goes leaves at once
+        self.words = Words(own)
+        self.tokens = Memo(lambda token: own._token(token), WORDS // 10)
         self.arrow: pa.Array | None = None
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -254,6 +256,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern
                 if decode:
                     cols.append(codec.decode_all(cols[1]))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(run, f"kept {kept.schema.simpleString()}, ids binary" + ", decoded binary" * decode)
     return out.select(*(F.col("kept").getField(c).alias(c) for c in kept.columns), *names[1:])
