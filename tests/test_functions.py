@@ -160,3 +160,29 @@ def test_ranks_of_split_groups(spark):
     for r in pseudonyms.ranked(rows, ["g"], ["v"]).collect():
         got.setdefault(r.g, {})[r.v] = r.n
     assert all([vs[v] for v in sorted(vs)] == list(range(1, 251)) for vs in got.values())
+
+
+def test_words_that_differ_in_numbers_are_compared_once_and_score_as_one_by_one(spark):
+    words = [f"{w}{k}" for w in ("Muhamad", "AB", "Khaledd-", "[Fatmah]", "é^Yusuff\\", "Zainabb\n") for k in range(40)]
+    df, table = spark.createDataFrame([(w,) for w in words], "w string"), names.variants(spark)
+    low = F.lower(F.trim("w"))
+    score = strings.jaro_winkler(low, F.col("variant")) * 0.6 + strings.jaro_winkler(strings.phonetic(low), F.col("phon")) * 0.4
+    best = df.crossJoin(table).withColumn("s", score).groupBy("w").agg(F.max_by(F.struct("canonical", "s"), F.struct("s", -F.col("key_ord"))).alias("b")).where("b.s >= 0.82")
+    want = {r.w: (r.b.canonical, r.b.s) for r in best.collect()}
+    assert {r.word: (r.canonical, r.score) for r in names.canonical_names(df, "w", table).collect()} == want and len(want) >= 80
+    letters = "".join({c for r in table.collect() for c in r.variant})
+    assert df.select(names._shape(low, letters)).distinct().count() == 12  # numbers of one and of two figures
+
+
+def test_no_bound_is_below_the_score():
+    words = ["mohamed", "muhammad", "ab", "a", "", "aab", "xyz", "marhta", "dicksonx", "éa", "ahmadu", "abdurahman"]
+    letters = names.Letters(words)
+    assert all((letters.bound(a) >= letters.jaro_winkler(a) - 1e-9).all() for a in [*words, "qq", "mohamed1", "abba"])
+
+
+def test_name_spans_are_not_broadcast(spark):
+    page = "named_struct('x0', 0D, 'y0', 0D, 'x1', 0D, 'y1', 0D) AS bbox"
+    df = spark.createDataFrame([(1, 0, "Mohamed"), (1, 1, "Ali")], "page int, seq int, text string").selectExpr("*", "95D AS confidence", page)
+    found = names.name_spans(df, ["page"], names.variants(spark))
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1  # known words
+    assert [(r.text, r.canonical) for r in found.collect()] == [("Mohamed Ali", "Muhammad")]
