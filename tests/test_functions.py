@@ -186,3 +186,33 @@ def test_name_spans_are_not_broadcast(spark):
     found = names.name_spans(df, ["page"], names.variants(spark))
     assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1  # known words
     assert [(r.text, r.canonical) for r in found.collect()] == [("Mohamed Ali", "Muhammad")]
+
+
+def test_trees_and_first_letters_keep_what_patterns_find():
+    import random
+    import re
+
+    from inkwarden.functions import rx
+    from inkwarden.operators import entities
+
+    rng = random.Random(3)
+    for _ in range(200):
+        words = ["".join(rng.choice("aAb") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(4, 9))]
+        text = "".join(rng.choice("aAb ") for _ in range(60))
+        for flag in (0, re.I):
+            plain, written = (re.findall(rf"(?:{p})(?![ab])", text, flag) for p in ("|".join(words), rx.tree([list(w) for w in words], bool(flag))))
+            assert plain == written
+    assert rx.java(r"\b(?:Mali|Malta|Mexico|Malian)\b").startswith(r"(?=[MMMM])(?<!\w)(?:M(?:al(?:i(?:|an)|ta)|exico))")
+    assert [rx.first_letters(p) for _, p, _ in entities.PATTERNS[:4]] == [r"A-Za-z0-9._%+\-", r"\+0\d", "R", "R"]
+    assert [rx.first_letters(p) for p in (r"\b(?:a|b)?c", r"\ba*b", r"[^a]b", r".a", r"\b(a(?:b|c)|\d)x")] == [None, None, None, None, r"a\d"]
+
+
+def test_places_of_few_and_of_many_matches(spark):
+    import re
+
+    from inkwarden.functions import rx
+
+    texts = ["é1 " * n + "\U0001f600x" + tail for n in (0, 1, 31, 32, 33, 300) for tail in ("", " 2", "\u00013")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", rx.spans(F.col("t"), rx.java(r"\b\d\b")).alias("s")).collect():
+        assert [tuple(x) for x in r.s] == [(m.group(), m.start(), m.end()) for m in re.finditer(r"(?<![0-9A-Za-z_])\d", r.t)]
