@@ -163,3 +163,10 @@ def test_sweep_over_many_items(spark):
     text = " ".join(f"a{k}@x.org" for k in range(1500))
     row = entities.detect(spark.createDataFrame([(text,)], "text string"), active=("EMAIL",)).first()
     assert [e.text for e in row.entities] == text.split() and [e.start for e in row.entities][:3] == [0, 9, 18]
+
+
+def test_texts_are_searched_once_for_all_entities(spark):
+    pages = spark.createDataFrame([(1, "Mail a@b.org"), (2, None), (3, "none")], "page int, text string").repartition(2)
+    found = entities.exploded(entities.detect(pages, active=("EMAIL",)), ["page"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and [(r.page, r.seq, r.text) for r in found.collect()] == [(1, 0, "a@b.org")]
